@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def stage(df: DataFrame, what: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer held, as those of staged tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete scratch tables of finished work. Only call it when no DataFrame that reads them is still to run."""
     jvm = spark.sparkContext._jvm
