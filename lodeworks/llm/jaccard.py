@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +80,18 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, fp and all (every shingle of the set) of docs (doc_id, text)."""
+    """Rows fp, block and all (every shingle of the set) of docs (want, block, text) whose set has the hash ``want``."""
 
     def run(batches):
         for b in batches:
             for i in range(0, len(b), 512):
                 s = b.slice(i, 512)
-                got = list(_sets(s.column(1)))
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([h for _, h in got], pa.int64()), _long_lists([u for u, _ in got])], names=["doc_id", "fp", "all"])
+                got = list(_sets(s.column(2)))
+                fp = pa.array([h for _, h in got], pa.int64())
+                # a document id may have other texts
+                yield pa.RecordBatch.from_arrays([fp, s.column(1), _long_lists([u for u, _ in got])], names=["fp", "block", "all"]).filter(pc.equal(fp, s.column(0)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, all array<long>")
+    return docs.select("want", "block", "text").mapInArrow(run, "fp long, block long, all array<long>")
 
 
 class Node:
@@ -227,7 +230,8 @@ def links(docs: DataFrame, sums: DataFrame, block_words: int = BLOCK_WORDS) -> D
     rows = sets.select("fp", "n", F.explode("prefix").alias("t"))
     often = stage(rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "often")
     release(spark)
-    lists = rows.join(often, "t").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    # both sides grow with the corpus, so it is a shuffle join at every size
+    lists = rows.join(often.hint("merge"), "t").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     low = (1 + F.expr("((4 * n + 4) div 5) div 20")).cast("int")  # shared(least(n))
     lists = lists.where(F.size("ts") >= low).select("fp", F.expr("slice(ts, 1, size(ts) - (1 + CAST(((4 * n + 4) div 5) div 20 AS INT)) + 1)").alias("ts"))
     active = stage(lists.select("fp", F.explode("ts.t").alias("t")), "active")
@@ -240,11 +244,10 @@ def links(docs: DataFrame, sums: DataFrame, block_words: int = BLOCK_WORDS) -> D
     if chosen.isEmpty():
         return chosen.select("fp", F.col("fp").alias("root")).limit(0)
     n, widest = chosen.groupBy("block").agg(F.sum("n").alias("w"), F.count("*").alias("c")).agg(F.sum("c"), F.max("w")).first()
-    small = chosen.select("doc_id", F.col("fp").alias("_fp"), "block")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(small.select("doc_id").distinct(), n, 64), "doc_id", "left_semi")
+    wanted = chosen.select("doc_id", F.col("fp").alias("want"), "block")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, n, 64).withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
     full = stage(full_sets(texts), "full")
     release(spark)
-    full = full.join(small, (full.doc_id == small.doc_id) & (F.col("fp") == F.col("_fp"))).select("fp", "block", "all")
     if widest <= block_words:
         out = full.groupBy("block").applyInPandas(_join_block, "fp long, root long")
         return stage(out, "links")
@@ -275,10 +278,16 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
-    """One row of each class of docs stays, that of the smallest doc_id; columns unchanged."""
-    kept = classes(docs).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id", F.col("fp").alias("_fp")).distinct()
-    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").where(~empty)
-    # rows of one doc_id and text are copies of each other
-    stay = stay.dropDuplicates(["doc_id", "text"])
-    return stay.union(docs.where(empty)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class of docs stays, that of the smallest doc_id; columns unchanged.
+
+    Of rows with one doc_id and text one stays. Rows with a null doc_id, and those without words, all stay.
+    """
+    found = stage(classes(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "classes")
+    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again = stage(found.groupBy("doc_id", "fp").count().where("count > 1").select("doc_id").distinct(), "again")
+    stay = docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if again.isEmpty():
+        return stay
+    few = broadcast_if_small(again, again.count(), 16)
+    once = stay.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(few, "doc_id", "left_anti").union(once).select(*[F.col(f"`{c}`") for c in docs.columns])
