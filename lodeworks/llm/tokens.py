@@ -10,12 +10,11 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-
-import numpy as np
+from struct import pack
 
 END = 1
 #: Words kept by a worker before it starts afresh, and characters handled at once. Neither changes a result.
-KEPT, AT_ONCE = 400_000, 1 << 20
+KEPT, AT_ONCE = 600_000, 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")
 _TAIL = ".,;:!?*%$&#|"
 
@@ -37,22 +36,32 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)  # without offsets
+        return [pack(f"<{len(e)}I", *e.ids) for e in encode(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = list(words - self.words.keys())
         if not new:
             return
         if not self.by_tail:
             self.words.update(zip(new, self._encode(new)))
             return
-        cut = {w: w.rstrip(_TAIL) for w in new}
-        cut = {w: (h, w[len(h) :]) for w, h in cut.items() if h and len(h) < len(w) and max(h) < "\u0250" and h.lower().isalpha()}
-        parts = {p for pair in cut.values() for p in pair} | {w for w in new if w not in cut}
-        parts = [p for p in parts if p not in self.words]
+        cut, parts = [], set()
+        for w in new:
+            head = w.rstrip(_TAIL)
+            k = len(head)
+            if k == len(w) or not head.isalpha() or not (head.isascii() or max(head) < "\u0250" and head.lower().isalpha()):
+                parts.add(w)
+            else:
+                tail = w[k:]
+                cut.append((w, head, tail))
+                parts.add(head)
+                parts.add(tail)
+        parts = list(parts - self.words.keys())
         self.words.update(zip(parts, self._encode(parts)))
-        for w, (head, tail) in cut.items():
-            self.words[w] = self.words[head] + self.words[tail]
+        got = self.words
+        for w, head, tail in cut:
+            got[w] = got[head] + got[tail]
 
     def _plain(self, text: str) -> str:
         """Lower-cased ahead of the library where that is sure to be the same: in the first 256 characters of Unicode."""
@@ -82,7 +91,7 @@ class WordEncoder:
         def flush():
             if len(self.words) > KEPT:
                 self.words.clear()
-            self._learn({w for _, words in held for w in words})
+            self._learn(set().union(*(words for _, words in held)))
             get = self.words.__getitem__
             for i, words in held:
                 out[i].append(b"".join(map(get, words)))
