@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, release, stage
+from .common import broadcast_if_small, partitions, ranked, release, stage
 from .shingles import WIDTH, mix, shingle_rows, word_blocks
 
 #: Least words of a passage, hash functions, and how many of them must agree.
@@ -129,29 +129,31 @@ def windows(docs: DataFrame, words: int, hashes: int) -> DataFrame:
 
 
 def candidates(found: DataFrame, words: int, agree: int) -> DataFrame:
-    """Rows doc_id, th, runs (array of (from, to) in shingles): where marked windows of ``agree`` hash functions overlap.
+    """Rows th, doc_id, runs (array of (a, b) in shingles): where marked windows of ``agree`` hash functions overlap.
 
-    A sweep over each document's window ends counts the hash functions that cover a start. The windows of one function
-    do not overlap, so the count is of functions.
+    A sweep over each text's window ends counts the hash functions that cover a start. The windows of one function do
+    not overlap, so the count is of functions.
     """
     t = words - WIDTH + 1
-    step = found.select("doc_id", "th", F.explode(F.array(F.struct(F.col("lo").alias("x"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"))
-    step = step.groupBy("doc_id", "th", "e.x").agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy("doc_id", "th").orderBy("x")
-    step = step.withColumn("n", F.sum("d").over(order)).withColumn("next", F.lead("x").over(order))
-    step = step.where(F.col("n") >= agree).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("x").alias("a"), (F.col("next") + (t - 1)).alias("b")))).alias("runs"))
-    return step  # runs of a document: at most its windows
+    ends = F.array(F.struct(F.col("lo").alias("x"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("x"), F.lit(-1).alias("d")))
+    step = found.select("th", "doc_id", F.explode(ends).alias("e")).groupBy("th", "e.x").agg(F.sum("e.d").alias("d"), F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("th").orderBy("x")
+    step = step.withColumn("in", F.sum("d").over(order) >= agree).withColumn("next", F.lead("x").over(order))
+    fresh = F.when(F.coalesce(F.lag("in").over(order), F.lit(False)), 0).otherwise(1)
+    step = step.withColumn("k", F.sum(F.when(F.col("in"), fresh).otherwise(0)).over(order)).where("in")
+    step = step.groupBy("th", "k").agg(F.min("doc_id").alias("doc_id"), F.struct(F.min("x").alias("a"), (F.max("next") + (t - 1)).alias("b")).alias("run"))
+    return step.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list("run")).alias("runs"))  # runs of one text
 
 
 def _covered(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, th, s, pos: the shingles of docs (doc_id, th, text, runs) inside the runs."""
+    """Rows rid, s, pos: the shingles of docs (rid, text, runs) inside the runs."""
 
     def run(batches):
         for b in batches:
-            runs = b.column(3)
+            runs = b.column(2)
             at = np.asarray(runs.offsets)
             lows, highs = (np.asarray(runs.values.field(k)) for k in (0, 1))
-            for row, sh, ends in _rows_with_shingles(b.column(2)):
+            for row, sh, ends in _rows_with_shingles(b.column(1)):
                 if not len(sh):
                     continue
                 starts = np.append(0, ends[:-1])
@@ -164,50 +166,73 @@ def _covered(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(ends, hit, "right")
                 take = pa.array(doc + row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(sh[hit].view(np.int64)), pa.array((hit - starts[doc]).astype(np.int32))], names=["doc_id", "th", "s", "pos"]
+                    [b.column(0).take(take), pa.array(sh[hit].view(np.int64)), pa.array((hit - starts[doc]).astype(np.int32))], names=["rid", "s", "pos"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, th long, s long, pos int")
+    return docs.mapInArrow(run, "rid long, s long, pos int")
 
 
 def _islands(rows: DataFrame, gap: int) -> DataFrame:
     """rows with ``island``: a number that grows where pos jumps by more than gap inside a document."""
-    order = Window.partitionBy("doc_id", "th").orderBy("pos")
+    order = Window.partitionBy("rid").orderBy("pos")
     jump = F.when(F.col("pos") - F.lag("pos").over(order) <= gap, 0).otherwise(1)
     return rows.withColumn("_jump", jump).withColumn("island", F.sum("_jump").over(order)).drop("_jump")
 
 
-def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: int = AGREE) -> DataFrame:
-    """Shingles of repeated passages: rows doc_id, th, pos, island, first_doc, kept (this is its first occurrence)."""
+def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: int = AGREE) -> tuple[DataFrame, DataFrame]:
+    """Shingles of repeated passages, and their documents.
+
+    Copies of a text are one here, under their smallest doc_id. The first result has rows rid, pos, island, first (rid
+    of the shingle's first document); the second rid, doc_id, th, with rid a number in the order of doc_id.
+    """
     spark, t = docs.sparkSession, words - WIDTH + 1
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sigs = windows(texts, words, hashes).groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    sigs = windows(texts, words, hashes).groupBy("sig").agg(F.min("th").alias("a"), F.max("th").alias("b"))
     sigs = stage(sigs.where("a < b").select("sig"), "sigs")
     release(spark)
-    n = sigs.count()
-    marked = windows(texts, words, hashes).join(broadcast_if_small(sigs, n, 16), "sig", "left_semi").dropDuplicates(["doc_id", "th", "j", "lo"])
-    runs = stage(candidates(marked, words, agree), "runs")
+    marked = windows(texts, words, hashes).join(broadcast_if_small(sigs, sigs.count(), 16), "sig", "left_semi")
+    # copies of a text have the same windows
+    marked = marked.groupBy("th", "j", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
+    runs = stage(ranked(candidates(marked, words, agree), ["doc_id", "th"], "rid"), "runs")
     release(spark)
     n = runs.agg(F.coalesce(F.sum(F.size("runs") + 4), F.lit(0))).first()[0]
-    rows = _covered(texts.join(broadcast_if_small(runs, n, 8), ["doc_id", "th"]).select("doc_id", "th", "text", "runs"))
-    rows = stage(rows, "rows")
+    rows = stage(_covered(texts.join(broadcast_if_small(runs, n, 8), ["doc_id", "th"]).select("rid", "text", "runs")), "rows")
+    hubs = rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
+    hubs = stage(hubs.where("first < last").select("s", "first"), "hubs")
     release(spark)
-    hubs = stage(rows.groupBy("s").agg(F.min(F.struct("doc_id", "th", "pos")).alias("hub"), F.max("doc_id").alias("far")).where("hub.doc_id < far").select("s", "hub"), "hubs")
-    at = rows.join(hubs, "s").groupBy("doc_id", "th", "pos").agg(F.min("hub").alias("hub"))
-    at = at.select("doc_id", "th", "pos", F.col("hub.doc_id").alias("first_doc"), (F.col("hub.doc_id") == F.col("doc_id")).alias("kept"))
+    at = rows.join(hubs.hint("merge"), "s").select("rid", "pos", "first").repartition(partitions(spark), "rid").dropDuplicates(["rid", "pos"])
     # a run of t shingles counts if enough of them are there; all of it is then part of a passage
-    order = Window.partitionBy("doc_id", "th").orderBy("pos")
+    order = Window.partitionBy("rid").orderBy("pos")
     dense = F.count("*").over(order.rangeBetween(-(t - 1), 0)) >= F.lit(SHARE) * t
     at = at.withColumn("_dense", dense).withColumn("_in", F.max("_dense").over(order.rangeBetween(0, t - 1)))
-    return _islands(at.where("_in").drop("_dense", "_in"), GAP)
+    return _islands(at.where("_in").drop("_dense", "_in"), int((1 - SHARE) * t) + 1), runs.select("rid", "doc_id", "th")
+
+
+def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows doc_id, th, n_words, first_doc of texts of ``words`` words or more that two or more doc_ids have."""
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_words")).where(F.col("n_words") >= words)
+    groups = stage(texts.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("far")).where("first_doc < far").select("th", "first_doc"), "copies")
+    return texts.join(groups, "th").distinct()
 
 
 def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows doc_id, start_word, end_word, first_doc, is_first: the repeated passages of each document."""
-    found = repeated(docs, words)
-    return found.groupBy("doc_id", "th", "island").agg(
-        F.min("pos").alias("start_word"), (F.max("pos") + WIDTH).alias("end_word"), F.min("first_doc").alias("first_doc"), F.min("kept").alias("is_first")
-    ).select("doc_id", "start_word", "end_word", "first_doc", "is_first")
+    """Rows doc_id, start_word, end_word, first_doc, is_first: the repeated passages of each document.
+
+    A text that several documents have whole is one passage of each; passages that its parts share with other texts are
+    given for the smallest of these documents.
+    """
+    whole = copies(docs, words).select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_first"))
+    found, names = repeated(docs, words)
+    found = stage(
+        found.groupBy("rid", "island").agg(
+            F.min("pos").alias("start_word"), (F.max("pos") + WIDTH).alias("end_word"), F.min("first").alias("first"), F.min(F.col("first") == F.col("rid")).alias("is_first")
+        ),
+        "found",
+    )
+    firsts = names.select(F.col("rid").alias("first"), F.col("doc_id").alias("first_doc"))
+    found = found.join(names.select("rid", "doc_id"), "rid").join(firsts, "first").select("doc_id", "start_word", "end_word", "first_doc", "is_first")
+    return found.union(whole)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -220,12 +245,17 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Words of a shingle whose first occurrence is here stay, so that each passage survives once. Other columns are
     unchanged, but for n_chars, which is counted anew where text was cut.
     """
-    spark = docs.sparkSession
-    found = stage(repeated(docs, words), "found")
-    cut = found.groupBy("doc_id", "th").agg(
-        F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("cut"), F.collect_list(F.when(F.col("kept"), F.col("pos"))).alias("keep")
-    ).where(F.size("cut") > 0)
-    cut = stage(cut.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "cut", "keep"), "cut")
+    spark, columns = docs.sparkSession, docs.columns
+    later = stage(copies(docs, words).where("doc_id <> first_doc").select("doc_id", "th"), "later")
+    if not later.isEmpty():
+        gone = docs.withColumn("th", F.xxhash64("text")).join(broadcast_if_small(later, later.count(), 32), ["doc_id", "th"], "left_anti")
+        docs = stage(gone.select(*[F.col(f"`{c}`") for c in columns]), "docs")
+    found, names = repeated(docs, words)
+    here = F.col("first") == F.col("rid")
+    cut = found.groupBy("rid").agg(
+        F.collect_list(F.when(~here, F.col("pos"))).alias("cut"), F.collect_list(F.when(here, F.col("pos"))).alias("keep")
+    ).where(F.size("cut") > 0)  # places of one document
+    cut = stage(cut.join(names, "rid").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "cut", "keep"), "cut")
     n = cut.agg(F.coalesce(F.sum(F.size("cut") + F.size("keep") + 8), F.lit(0))).first()[0]
     joined = docs.withColumn("_t", F.xxhash64("text")).join(
         broadcast_if_small(cut, n, 4), (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left"
