@@ -40,7 +40,8 @@ class WordEncoder:
         return [pack(f"<{len(e)}I", *e.ids) for e in encode(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        new = list(words - self.words.keys())
+        known = self.words
+        new = [w for w in words if w not in known]  # a difference with the keys would walk all of them
         if not new:
             return
         if not self.by_tail:
@@ -57,7 +58,7 @@ class WordEncoder:
                 cut.append((w, head, tail))
                 parts.add(head)
                 parts.add(tail)
-        parts = list(parts - self.words.keys())
+        parts = [w for w in parts if w not in known]
         self.words.update(zip(parts, self._encode(parts)))
         got = self.words
         for w, head, tail in cut:
