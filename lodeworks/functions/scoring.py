@@ -17,10 +17,11 @@ PLATFORMS = (
 ).split()
 
 
-def decay_credit(value: Column, threshold: float, width: float = 4.0) -> Column:
+def decay_credit(value: Column, threshold: float | Column, width: float = 4.0) -> Column:
     """1 up to threshold, then falling in a straight line to 0 at threshold * (1 + width)."""
-    over = F.lit(1.0) - (value - F.lit(float(threshold))) / F.lit(float(width * threshold))
-    return F.when(value <= threshold, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), over))
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    over = F.lit(1.0) - (value - t) / (F.lit(float(width)) * t)
+    return F.when(value <= t, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), over))
 
 
 def issue_severity(value: Column, threshold: Column) -> Column:

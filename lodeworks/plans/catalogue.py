@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import scoring as S
 from lodeworks.operators import relational as R
+from lodeworks.operators import scorers as C
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -531,3 +532,63 @@ def file_naming(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(
         a.alias("suffixed"), b.alias("bare"), F.when(a > b, "suffixed").otherwise("bare").alias("naming"), F.round(F.greatest(a, b) / F.count("*"), 6).alias("ratio")
     )
+
+
+def order_files(spark, d: str) -> DataFrame:
+    """Orders as source files (a repository a priority), their line items as functions: the scorers' facts from tables."""
+    fn = F.struct(
+        F.concat(F.lit("Ship"), F.initcap("l_returnflag")).alias("name"), F.lit("").alias("receiver"), (F.col("l_linenumber") % 2 == 0).alias("exported"), F.lit(1).alias("line_start"),
+        (F.col("l_quantity") * 4).cast("int").alias("line_end"), F.expr("transform(sequence(1, l_linenumber), i -> struct(concat('p', i) AS name, 'string' AS type))").alias("params"),
+        F.array(F.lit("error")).alias("returns"), F.lit(3).alias("max_nesting"), F.lit(2).alias("max_cond_ops"), (F.col("l_linenumber") * 12).cast("int").alias("cognitive_complexity"),
+        F.lit(0.0).alias("string_literal_ratio"), F.lit(0).alias("max_case_arms"), F.lit(0.0).alias("avg_case_lines"),
+    )
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(fn).alias("functions"))  # an order has a few line items
+    o, no = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")), lambda t: F.array().cast(f"array<{t}>")
+    path = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "_test.go").otherwise(".go"))
+    return o.select(
+        F.col("o_orderpriority").alias("repo_id"), path.alias("path"), F.lower("o_orderstatus").alias("package"), F.lit(False).alias("package_doc"), F.lit(0).alias("init_functions"),
+        (F.size("functions") * 100).alias("total_lines"), (F.col("o_orderkey") % 7 == 0).alias("is_generated"), F.lit(False).alias("has_cgo"), no("string").alias("structs"), no("string").alias("interfaces"),
+        no("struct<name:string,methods:array<string>>").alias("interface_defs"), no("string").alias("imports"), no("string").alias("global_vars"),
+        no("struct<has_wrap:boolean,has_context:boolean>").alias("error_calls"), no("struct<safe:boolean>").alias("type_assertions"), "functions",
+    )
+
+
+_FN_SQL = """SELECT o_orderpriority AS repo_id, o_orderkey, o_orderkey % 5 = 0 AS test, trunc(l_quantity * 4) AS lines, l_linenumber * 12 AS cc, l_linenumber AS params
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 <> 0"""
+
+
+def _credit_sql(v: str, t: str) -> str:
+    return f"CASE WHEN {v} <= {t} THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - ({v} - {t})::DOUBLE / (4.0::DOUBLE * {t})) END"
+
+
+@query(
+    "q45_code_health",
+    f"""WITH f AS ({_FN_SQL}), s AS (SELECT repo_id, round(avg({_credit_sql('lines', 'CASE WHEN test THEN 100 ELSE 50 END')}) * 20) AS function_size,
+       round(avg({_credit_sql('cc', 'CASE WHEN test THEN 30 ELSE 25 END')}) * 20) AS cognitive_complexity, round(avg({_credit_sql('params', 'CASE WHEN test THEN 6 ELSE 4 END')}) * 20) AS parameter_count FROM f GROUP BY 1),
+       z AS (SELECT repo_id, round(avg({_credit_sql('n', 'CASE WHEN test THEN 600 ELSE 300 END')}) * 20) AS file_size FROM (SELECT repo_id, o_orderkey, test, count(*) * 100 AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1)
+       SELECT repo_id, 'code_health' AS category, name, score::BIGINT AS score, 20::BIGINT AS points FROM (SELECT * FROM s JOIN z USING (repo_id)) UNPIVOT (score FOR name IN (function_size, file_size, cognitive_complexity, parameter_count))""",
+)
+def code_health(spark, d):
+    return C.code_health(order_files(spark, d))
+
+
+@query(
+    "q46_issue_counts",
+    f"""WITH f AS ({_FN_SQL}), i AS (
+         SELECT repo_id, 'function_size' AS sub_metric, lines AS v, CASE WHEN test THEN 100 ELSE 50 END AS t FROM f UNION ALL SELECT repo_id, 'cognitive_complexity', cc, CASE WHEN test THEN 30 ELSE 25 END FROM f
+         UNION ALL SELECT repo_id, 'parameter_count', params, CASE WHEN test THEN 6 ELSE 4 END FROM f
+         UNION ALL SELECT repo_id, 'file_size', count(*) * 100, any_value(CASE WHEN test THEN 600 ELSE 300 END) FROM f GROUP BY repo_id, o_orderkey)
+       SELECT repo_id, sub_metric, CASE WHEN v >= 3 * t THEN 'error' WHEN v >= 1.5 * t THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM i WHERE v > t GROUP BY ALL""",
+)
+def issue_counts(spark, d):
+    return C.issues(order_files(spark, d)).where("category = 'code_health'").groupBy("repo_id", "sub_metric", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q47_explicit_dependencies",
+    """SELECT o_orderpriority AS repo_id, CASE WHEN count_if(o_orderkey % 5 <> 0) = 0 THEN 0 ELSE 25 END::BIGINT AS score FROM orders
+       WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1""",
+)
+def explicit_dependencies(spark, d):
+    """Explicit dependencies of files without package state."""
+    return C.predictability(order_files(spark, d)).where("name = 'explicit_dependencies'").select("repo_id", "score")
