@@ -537,7 +537,7 @@ def file_naming(spark, d):
 def order_files(spark, d: str) -> DataFrame:
     """Orders as source files (a repository a priority), their line items as functions: the scorers' facts from tables."""
     fn = F.struct(
-        F.concat(F.lit("Ship"), F.initcap("l_returnflag")).alias("name"), F.lit("").alias("receiver"), (F.col("l_linenumber") % 2 == 0).alias("exported"), F.lit(1).alias("line_start"),
+        F.when(F.col("l_returnflag") == "R", "Return").otherwise(F.concat(F.lit("Ship"), F.initcap("l_linestatus"), F.lit("ine"))).alias("name"), F.lit("").alias("receiver"), (F.col("l_linenumber") % 2 == 0).alias("exported"), F.lit(1).alias("line_start"),
         (F.col("l_quantity") * 4).cast("int").alias("line_end"), F.expr("transform(sequence(1, l_linenumber), i -> struct(concat('p', i) AS name, 'string' AS type))").alias("params"),
         F.array(F.lit("error")).alias("returns"), F.lit(3).alias("max_nesting"), F.lit(2).alias("max_cond_ops"), (F.col("l_linenumber") * 12).cast("int").alias("cognitive_complexity"),
         F.lit(0.0).alias("string_literal_ratio"), F.lit(0).alias("max_case_arms"), F.lit(0.0).alias("avg_case_lines"),
@@ -592,3 +592,12 @@ def issue_counts(spark, d):
 def explicit_dependencies(spark, d):
     """Explicit dependencies of files without package state."""
     return C.predictability(order_files(spark, d)).where("name = 'explicit_dependencies'").select("repo_id", "score")
+
+
+@query(
+    "q48_self_describing_names",
+    """SELECT o_orderpriority AS repo_id, floor(count_if(l_returnflag <> 'R')::DOUBLE / count(*) * 25)::BIGINT AS score
+       FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber % 2 = 0 GROUP BY 1""",
+)
+def self_describing_names(spark, d):
+    return C.predictability(order_files(spark, d)).where("name = 'self_describing_names'").select("repo_id", "score")
