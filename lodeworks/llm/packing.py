@@ -1,10 +1,12 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt into blocks of at most ``block`` pieces. Each block is worked on by several islands, one task row each:
+Pieces are dealt into blocks of about ``block`` pieces. Each block is worked on by several islands, one task row each:
 an island breeds packings in which a gene is a whole sequence. Crossover injects well-filled sequences of one parent into
 the other, drops sequences that hold the same pieces twice, and best-fits the pieces set free. After an epoch every
 island's elite moves to the next island of the ring, and a second epoch follows; the best packing of a block's islands
 counts. Each block's emptiest sequence then goes back to a common pool, which is packed again until one block holds it.
+There are so few blocks that they hold ``LEAST_FULL`` sequences on average: where pieces are short, blocks have more of
+them. Some block then fills more than one sequence, so every round shortens the pool.
 
 Defined cases: a null or empty text has the end id alone; a document is cut only where it is longer than a sequence;
 equal rows are packed separately; an empty table gives no rows; columns beside doc_id and text are ignored.
@@ -26,6 +28,8 @@ from .tokens import END, default_tokenizer, word_encoder
 
 LENGTH, BLOCK, ISLANDS = 4096, 2048, 3
 PARENTS, OFFSPRING, WELL_FILLED = 4, 6, 0.99
+#: Sequences that a block's tokens fill on average at least, if there are several blocks; over 1, or packing may not end.
+LEAST_FULL = 4
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,11 +123,15 @@ def _assigned(bins: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def _round(pool: DataFrame, n: int, block: int, islands: int, length: int, seed: int) -> tuple[DataFrame, int]:
+def block_count(n: int, total: int, block: int, length: int) -> int:
+    """Blocks for n pieces of ``total`` tokens: of ``block`` pieces at most, or of more if those are too few tokens."""
+    return max(1, min(-(-n // block), total // (LEAST_FULL * length)))
+
+
+def _round(pool: DataFrame, blocks: int, islands: int, length: int, seed: int) -> DataFrame:
     """pool, its rows numbered by uid, with columns b, bin, offset and left: in the block's emptiest bin."""
-    blocks = max(1, -(-n // block))
     item = F.struct(F.col("length"), "uid", "doc_id", "piece", "start", "ids_crc32")
-    # uid % blocks deals the rows evenly, so that a block has about ``block`` rows
+    # uid % blocks deals the rows evenly
     held = stage(pool.groupBy(F.pmod("uid", F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items")), "blocks")
     kind = "b long, island int, sizes array<long>, elite array<int>"
 
@@ -153,7 +161,7 @@ def _round(pool: DataFrame, n: int, block: int, islands: int, length: int, seed:
     rows = rows.withColumn("offset", F.sum("length").over(Window.partitionBy("b", "bin").orderBy("at")) - F.col("length"))
     rows = rows.withColumn("fill", F.sum("length").over(Window.partitionBy("b", "bin")))
     low = F.min(F.struct("fill", "bin")).over(Window.partitionBy("b"))["bin"]
-    return rows.withColumn("left", F.col("bin") == low), blocks
+    return rows.withColumn("left", F.col("bin") == low)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: int = ISLANDS, seed: int = 11, tokenizer: str | None = None) -> DataFrame:
@@ -166,11 +174,11 @@ def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: int
     while True:
         # numbers without gaps, so that blocks are even
         pool = stage(pool.select(*columns, F.monotonically_increasing_id().alias("uid")), "pool")
-        n = pool.count()
+        n, total = pool.agg(F.count("*"), F.sum("length")).first()
         if n == 0:
             break
-        solved, blocks = _round(pool, n, block, islands, length, seed + turn)
-        solved = stage(solved, "solved")
+        blocks = block_count(n, total, block, length)
+        solved = stage(_round(pool, blocks, islands, length, seed + turn), "solved")
         number = (F.lit(turn) * (1 << 50) + F.col("b") * (1 << 22) + F.col("bin")).cast("long")
         done.append((solved if blocks == 1 else solved.where(~F.col("left"))).select(*columns, number.alias("sequence_id"), "offset"))
         if blocks == 1:

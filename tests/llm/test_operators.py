@@ -173,6 +173,31 @@ def test_packing(spark, small):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 256) + 2
 
 
+@pytest.mark.parametrize("kind, length, block", [("null", 4096, 2048), ("third", 64, 16)])
+def test_packing_of_tiny_pieces_ends(spark, monkeypatch, kind, length, block):
+    """Null, empty and one-word texts, which fill no sequence however many a block has."""
+    rounds, whole = [], packing._round
+
+    def counted(*a):
+        rounds.append(1)
+        assert len(rounds) < 12, "the pool does not shrink"
+        return whole(*a)
+
+    monkeypatch.setattr(packing, "_round", counted)
+    rows = [(i, None) for i in range(5000)] if kind == "null" else [(i, "" if i % 3 == 0 else "one two" if i % 3 == 1 else "one " * (i % 50)) for i in range(900)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length, block).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    lengths = {t: len(token_ids(t)) for t in {t for _, t in rows}}
+    assert sum(r["length"] for r in got) == sum(lengths[t] for _, t in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= length
+    assert len(bins) <= -(-sum(r["length"] for r in got) // length) + 2
+
+
 def test_crossover_keeps_items():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 100, 60)
