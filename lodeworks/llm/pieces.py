@@ -5,8 +5,9 @@ the library does for such models. The search keeps back pointers only for a wind
 win go through one boundary, the ids before it are committed and the window starts there. No path can jump over more
 characters than the longest piece has, so the window stays short wherever the text does not repeat one piece's characters.
 
-Where no piece reaches over a boundary at all (before a space mark that follows another character, and around characters
-that are in no longer piece), every path converges; a worker keeps the ids of such stretches, which changes no result.
+Where no piece reaches over a boundary at all (before a space mark that follows another character, around line ends, and
+between a letter and a mark that no piece joins to one), every path converges; a worker keeps the ids of such stretches,
+which changes no result.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters without a piece fall back to
 bytes; of paths of equal score the one whose last piece starts first wins, as in the library; any text comes back from
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 KEPT = 300_000
-#: Marks that often follow a word; a stretch ends before one of them if no piece holds a letter and then it.
+#: Marks that often follow a word; a stretch ends between a LETTER and one of them if no piece holds a letter and then it.
 MARKS = ".,;:!?*%$&#|"
+LETTER = r"[^\W\d_]"
 
 
 class StreamingViterbi:
@@ -42,9 +44,10 @@ class StreamingViterbi:
         inside = {p for p in self.score if re.search(f"[^{SPACE}]{SPACE}", p)}
         joined = {c for p in self.score if len(p) > 1 for c in p}
         #: Stretches that no piece joins to their neighbours.
-        after = {b for p in self.score for a, b in zip(p, p[1:]) if a.isalpha()}
+        after = {b for p in self.score for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
         marks = "".join(re.escape(c) for c in MARKS if c not in after)
-        body = f"[^{SPACE}\n{marks}]+|[{marks}][^{SPACE}\n]*" if marks else f"[^{SPACE}\n]+"
+        # after anything but a letter a mark stays in the stretch: there are pieces such as '",' and ').'
+        body = f"(?:[^{SPACE}\n{marks}]+|(?<!{LETTER})[{marks}])+|[{marks}][^{SPACE}\n]*" if marks else f"[^{SPACE}\n]+"
         # a stretch that begins with marks goes on to the next space: a piece may join a mark to what follows it
         self.stretch = re.compile(f"{SPACE}*(?:{body})|\n|{SPACE}+") if not inside and "\n" not in joined else None
         self.kept: dict[str, bytes] = {}

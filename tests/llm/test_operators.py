@@ -215,6 +215,33 @@ def test_pieces(spark, small):
         assert got[i]["n_pieces"] == len(ids) // 4 and got[i]["ids_crc32"] == zlib.crc32(ids)
 
 
+def full_viterbi(v, text):
+    """Ids of the best path over the whole text, with no window and no stretches."""
+    best, back = [0.0] + [-math.inf] * len(text), [None] * (len(text) + 1)
+    for a in range(len(text)):
+        found = [(b, *v.score[text[a:b]]) for b in range(a + 1, min(len(text), a + v.longest) + 1) if text[a:b] in v.score]
+        for b, s, i in found if text[a] in v.score else [*found, (a + 1, v.low, None)]:
+            if best[a] + s > best[b]:
+                best[b], back[b] = best[a] + s, (a, i)
+    ids, b = [], len(text)
+    while b:
+        a, i = back[b]
+        ids.append([i] if i is not None else v._fallback(text[a:b]))
+        b = a
+    return [i for x in reversed(ids) for i in x]
+
+
+def test_stretches_keep_the_best_path():
+    m, rng = pieces.piece_model(pieces.default_model()), random.Random(6)
+    odd = ['"yes", he said ("no"). Then, "why?"', "f(a, b[0], c());\n/* x */ y += {'k': 1.5, 'z': []};", "x²; 3.14, 1,000.00: 50% (§7), [a].b;c #1 &c. |d|", "a.b,c;d:e!f?g*h%i$j&k#l|m", "éa, ñ. 中文, 🙂! ,,;; . ,a", "  ..\n,x ()) ));"]
+    odd += ["".join(rng.choice("ab zé1²_ \n\"')]}(/=" + pieces.MARKS) for _ in range(80)) for _ in range(300)]
+    names = [p for p in m.viterbi.score if any(c in pieces.MARKS for c in p)]
+    odd += ["".join(rng.choice([rng.choice(names).replace("▁", " "), "word", '"', " "]) for _ in range(25)) for _ in range(300)]
+    assert m.viterbi.stretch is not None and any("".join(x) in m.viterbi.score for x in ('",', ").", "));"))
+    for t in odd:
+        assert np.frombuffer(m.encode(t), "<u4").tolist() == full_viterbi(m.viterbi, "▁" + t.replace(" ", "▁")) and m.decode(m.encode(t)) == t
+
+
 def test_streaming_viterbi_is_viterbi():
     rng = random.Random(2)
     rows = [(p, -rng.randint(1, 9) / 1.0, k) for k, p in enumerate({"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 4))) for _ in range(40)})]
