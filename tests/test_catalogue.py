@@ -1,5 +1,7 @@
 """Every catalogue query against its SQL in DuckDB."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -27,3 +29,11 @@ def test_matches_sql(spark, name):
     at = [names.index(c) for c in sorted(names)]
     b = sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
     assert a == b and a
+
+
+def test_content_hash_covers_the_whole_text(spark, tmp_path):
+    texts = ["x" * 20000 + "a", "x" * 20000 + "b", "é", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["sha"], r["size"]) for r in catalogue.QUERIES["q42_content_hash"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[0] == (sha(texts[0]), 16384) and got[1] == (sha(texts[1]), 16384) and got[2] == (sha("é"), 2) and got[3][0] is None
