@@ -261,33 +261,47 @@ def links(docs: DataFrame, sums: DataFrame, block_words: int = BLOCK_WORDS) -> D
 
 
 def classes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows doc_id, n_shingles, component_id, fp for docs (doc_id, text)."""
+    """Rows doc_id, n_shingles, component_id, fp, root for docs (doc_id, text); root is one hash a class."""
     sums = stage(summaries(docs), "sums")
     found = links(docs, sums, block_words)
     named = sums.select("doc_id", "n", "fp")
     named = named.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "named")
     first = stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    out = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp")
-    alone = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp")
+    out = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
+    alone = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.col("fp").alias("root"))
     return out.union(alone)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("fp")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("fp", "root")
 
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
-    """One row of each class of docs stays, that of the smallest doc_id; columns unchanged.
+    """One row of each class of docs stays, that of the smallest doc_id and then of the smallest set's hash; columns unchanged.
 
-    Of rows with one doc_id and text one stays. Rows with a null doc_id, and those without words, all stay.
+    Of rows with one doc_id and set, that of the smallest text stays. Rows with a null doc_id, and those without words, all
+    stay.
     """
-    found = stage(classes(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "classes")
-    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    again = stage(found.groupBy("doc_id", "fp").count().where("count > 1").select("doc_id").distinct(), "again")
-    stay = docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if again.isEmpty():
+
+    @F.pandas_udf("n long, fp long")
+    def summary(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(len(u), h) for u, h in _sets(pa.array(text, pa.string(), from_pandas=True))], columns=["n", "fp"])
+
+    found = stage(classes(docs).where("doc_id IS NOT NULL"), "classes")
+    sets = found.where("n_shingles > 0")
+    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n_shingles").alias("n")).where("c > 1 AND n > 0").select("doc_id"), "again")
+    # of the other documents the id tells the text
+    apart = stage(sets.where("doc_id <> component_id").select("doc_id").union(again).distinct(), "apart")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = docs.join(broadcast_if_small(apart, apart.count(), 16), "doc_id", "left_anti").select(*columns)
+    n = again.count()
+    if n == 0:
         return stay
-    few = broadcast_if_small(again, again.count(), 16)
-    once = stay.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.join(few, "doc_id", "left_anti").union(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    few = broadcast_if_small(again, n, 16)
+    first = sets.where("doc_id = component_id").join(few, "doc_id", "left_semi").groupBy("root", "doc_id").agg(F.min("fp").alias("_fp"))
+    mixed = docs.join(few, "doc_id", "left_semi").select(F.struct(*columns).alias("_row"), "doc_id", "text", summary("text").alias("_s"))
+    mixed = stage(mixed.select("_row", "doc_id", "text", F.col("_s.n").alias("_n"), F.col("_s.fp").alias("_fp")), "mixed")
+    once = mixed.where("_n > 0").join(first.select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi")
+    once = once.groupBy("doc_id", "_fp").agg(F.min_by("_row", "text").alias("_row"))
+    return stay.union(mixed.where("_n = 0").select("_row.*")).union(once.select("_row.*"))

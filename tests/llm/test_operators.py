@@ -347,6 +347,21 @@ def test_near_duplicate_filter(spark, small):
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def test_near_duplicate_filter_of_one_id_on_several_texts(spark):
+    rng = random.Random(12)
+    prose = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(80))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    near = lambda t: f"{t} more"
+    rows = [(3, b), (7, a), (7, near(b)), (7, ""), (7, None), (8, near(a)), (9, c), (9, near(c)), (5, d), (5, d.replace(" ", ", ")), (5, f"{d}  "), (None, near(d))]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, fp int")
+    got = jaccard.near_duplicate_filter(docs)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == docs.columns and all((r["doc_id"], r["text"]) == rows[r["fp"]] for r in got.collect())
+    assert {(3, b), (7, a), (7, ""), (7, None), (None, near(d))} <= set(kept)
+    assert Counter(i for i, _ in kept) == {3: 1, 7: 3, 9: 1, 5: 2, None: 1}  # words with commas are other words
+    assert (5, d) in kept
+
+
 def test_compact_windows_match_sliding_minimum():
     rng = np.random.default_rng(8)
     sh, ends, t = rng.integers(0, 40, 300).astype(np.uint64), np.array([0, 120, 130, 300]), 12
