@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import ranked, stage
 
 
-def shard(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "source") -> DataFrame:
-    """Rows (doc_id, size, text_crc32, source, shard, slot) of docs (doc_id, text, source)."""
+def shard(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, size, text_crc32, source, shard, slot) of docs (doc_id, text, source), and docs' columns ``keep``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -26,6 +26,7 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "source"
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_s"),
         F.xxhash64(F.lit(seed), "doc_id", text).alias("_h"),
+        *keep,
     )
     rows = ranked(rows, ["_s", "_h", "doc_id"], "_place")
     sources = stage(rows.groupBy("_s").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")), "sources")
@@ -34,14 +35,14 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "source"
     rows = ranked(rows.drop("_place", "_first", "_n"), ["_f", "_s", "_h", "doc_id"], "_place")
     rows = rows.withColumn("shard", F.expr(f"(_place * {n_shards}L) div {max(total, 1)}L").cast("int"))
     first = F.expr(f"(shard * {max(total, 1)}L + {n_shards - 1}L) div {n_shards}L")
-    return rows.select("doc_id", "size", "text_crc32", F.expr("IF(_s = 'n', NULL, substring(_s, 2))").alias("source"), "shard", (F.col("_place") - first).alias("slot"))
+    return rows.select("doc_id", "size", "text_crc32", F.expr("IF(_s = 'n', NULL, substring(_s, 2))").alias("source"), "shard", (F.col("_place") - first).alias("slot"), *keep)
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, seed: int = 17) -> None:
-    """Write docs as Parquet in folders shard=k, each in slot order. Texts are joined to places by doc_id and checksum."""
-    places = shard(docs, n_shards, seed).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8"))
-    joined = docs.withColumn("text_crc32", crc).join(places, ["doc_id", "text_crc32"]).drop("text_crc32")
+    """Write docs as Parquet in folders shard=k, each in slot order. Rows are numbered, and joined to places by number."""
+    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    places = shard(docs, n_shards, seed, keep=("_row",)).select("_row", "shard", "slot")
+    joined = docs.join(places, "_row").drop("_row")
     joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

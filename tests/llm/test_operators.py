@@ -274,6 +274,15 @@ def test_sharding(spark, small):
         assert max(each) - min(each) <= 2
 
 
+def test_write_shards_keeps_all_rows(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, None, None), (1, "b", "x")] + [(2, "same", "y")] * 9 + [(None, "a", "x")] * 3 + [(3, "c", None)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), f"{tmp_path}/shards", 4)
+    got = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(rows)
+    for k in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(4))
+
+
 def test_topk(spark, small):
     rows = [(i, r) for i, r in enumerate(spark.read.parquet(f"{small}/embeddings.parquet").collect())]
     ok = [(u, r[0], [math.floor(256 * x) for x in r[1]] + [0] * (4 - len(r[1]))) for u, r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
