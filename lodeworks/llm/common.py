@@ -2,54 +2,88 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-_FALLBACK = "/tmp/checkpoints"
-_live: list[str] = []
+#: Spark deletes the shuffle files of a query as it ends, if this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the scopes that are open, the innermost last.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the session's ``spark.checkpoint.dir``, or a test folder if unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _FALLBACK
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
+    Where it is unset, a session that runs in this process alone gets a temporary folder; on a cluster that is an error, as
+    its executors would write where others cannot read.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/lodeworks-{spark.sparkContext.applicationId}"
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/lodeworks/{what}-{uuid.uuid4().hex}"
-    _live.append(path)
-    return path
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope: tables that are staged inside are deleted at its end. What is kept goes to the scope around it.
+
+    Each operator opens its own, so that its scratch tables live as long as the call, and no longer; what it returns
+    reads tables that it has kept. Outside of any scope these stay until their reader deletes them.
+    """
+    folder = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}"
+    token = _scopes.set((*_scopes.get(), folder))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        delete(spark, folder)
 
-def stage(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and lost executors do not lose it."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def scratch_path(spark: SparkSession, what: str, kept: bool = False) -> str:
+    """A new path of the innermost scope, or of the one around it."""
+    open_ = _scopes.get()[:-1] if kept else _scopes.get()
+    return f"{open_[-1] if open_ else f'{shared_dir(spark)}/lodeworks/kept'}/{what}-{uuid.uuid4().hex}"
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer held, as those of staged tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def stage(df: DataFrame, what: str = "stage", kept: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and lost executors do not lose it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, what, kept)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete scratch tables of finished work. Only call it when no DataFrame that reads them is still to run."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _live:
-        path = jvm.org.apache.hadoop.fs.Path(_live.pop())
-        path.getFileSystem(conf).delete(path, True)
+def keep(df: DataFrame, what: str = "kept") -> DataFrame:
+    """df staged in the scope around the innermost one: the result of an operator."""
+    return stage(df, what, kept=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES, else unchanged (then a shuffle join)."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """df with a broadcast hint if it is within BROADCAST_BYTES, else with one for a shuffle join.
+
+    row_bytes is what a row takes in a join's table: 8 bytes a column of fixed width, and the measured contents of others.
+    Spark's own table adds about as much again, and 64 bytes a row for its keys and pointers.
+    """
+    return F.broadcast(df) if rows * (2 * row_bytes + 64) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,8 +106,6 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         .drop("_m")
     )
     placed = stage(placed, "ranked")
-    from pyspark.sql import Window
-
     starts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -88,8 +120,6 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node known. Every step is a shuffle over edges, staged so that lineage stays short. Ends when a round
     changes nothing.
     """
-    from pyspark.sql import Window
-
     def minimum(pairs: DataFrame) -> DataFrame:
         low = stage(pairs.groupBy("u").agg(F.min("v").alias("m")), "low")
         return pairs.join(low, "u").select("u", "v", F.least("u", "m").alias("m"))

@@ -8,14 +8,18 @@
 3. Blocks get their sets in full. Each is joined in a task by a radix trie of the sets, ordered by frequency: a probe
    walks the trie, adds up the overlap once for all sets that share a path, and leaves a subtree when what remains of
    the probe or of the subtree cannot reach the overlap needed, or when all of it is already in the probe's class.
-   Blocks over ``BLOCK_WORDS`` are cut into chunks, and every pair of chunks is a task.
+   A block of more than ``CHUNK_SETS`` sets is cut into chunks, a task each. Every chunk also gets a few pivots of the
+   block, which tie the classes of its chunks together. What then lies outside the block's largest class, mostly little,
+   meets all chunks; pairs inside a class are left out, as they change nothing.
 4. Links make classes; a class is named by its smallest document.
 
 No pair is left out: the prefix lengths, the frequency order and the trie bounds are exact filters, up to collisions of
 64-bit hashes.
 
 Defined cases: a null, empty or blank text has an empty set and is alone; fewer than five words make one shingle; rows
-of equal doc_id take part each with its own text; columns beside doc_id and text are ignored.
+of equal doc_id take part each with its own text; columns beside doc_id and text are ignored, and may have any name; a
+null doc_id takes part, and is the smallest only of a class that has no other; a very long text is hashed in pieces, and
+its set is one row.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, release, stage
+from .common import broadcast_if_small, components, keep, scratch, stage
 from .shingles import mix, shingle_rows, word_blocks
 
-#: Shingles of a block, over which it is joined in pairs of chunks.
-BLOCK_WORDS = 4_000_000
+#: Sets and shingles of a block, over which it is joined in chunks of about as many.
+CHUNK_SETS, CHUNK_SHINGLES = 64, 400_000
+#: Sets of a large block that all its chunks get in a round, and rounds before all that is left meets all chunks.
+PIVOTS, ROUNDS = 4, 3
 
 
 def least(n):
@@ -103,8 +109,11 @@ class Node:
         self.seg, self.depth, self.kids, self.ends, self.low, self.high, self.rest, self.rep, self.same = seg, depth, [], [], 0, 0, 0, -1, False
 
 
-def build(seqs: list[np.ndarray], sizes: list[int]) -> Node:
-    """Radix trie of the sequences; a node's low and high bound the sizes of the sets below it, rest the shingles to come."""
+def build(seqs: list[np.ndarray], sizes: list[int]) -> list[Node]:
+    """Nodes of the radix trie of the sequences, the root first and children after their parents.
+
+    A node's low and high bound the sizes of the sets below it, rest the shingles to come.
+    """
     keys = [s.astype(">u4").tobytes() for s in seqs]
     order = sorted(range(len(seqs)), key=keys.__getitem__)
     root = Node(np.empty(0, np.int64), 0)
@@ -133,11 +142,14 @@ def build(seqs: list[np.ndarray], sizes: list[int]) -> Node:
         n = [sizes[i] for i in node.ends] + [k.low for k in node.kids]
         node.low, node.high = min(n), max([sizes[i] for i in node.ends] + [k.high for k in node.kids])
         node.rest = max([0] + [k.rest + len(k.seg) for k in node.kids])
-    return root
+    return made
+
 
+def trie_join(sets: list[np.ndarray], known: list | None = None) -> list[int]:
+    """For each set the index of its class's first member, by links of Jaccard >= 0.8.
 
-def trie_join(sets: list[np.ndarray]) -> list[int]:
-    """For each set the index of its class's first member, by links of Jaccard >= 0.8."""
+    known: a label of each set; sets of equal labels are of one class already.
+    """
     parent = list(range(len(sets)))
 
     def find(i):
@@ -150,6 +162,9 @@ def trie_join(sets: list[np.ndarray]) -> list[int]:
         i, j = find(i), find(j)
         parent[max(i, j)] = min(i, j)
 
+    first: dict = {}
+    for i, x in enumerate(known or ()):
+        union(i, first.setdefault(x, i))
     live = list(range(len(sets)))
     while live:
         names, place, count = np.unique(np.concatenate([sets[i] for i in live]), return_inverse=True, return_counts=True)
@@ -160,13 +175,24 @@ def trie_join(sets: list[np.ndarray]) -> list[int]:
             break
         live = kept
     if len(live) < 2:
-        return parent
+        return [find(i) for i in range(len(sets))]
     rank = np.empty(len(names), np.int64)
     rank[np.lexsort((names, -count))] = np.arange(len(names))  # frequent first: similar sets share their paths
     seqs, sizes = [], [len(sets[i]) for i in live]
     for p in np.split(place, cuts):
         seqs.append(np.sort(rank[p[count[p] > 1]]))
-    root = build(seqs, sizes)
+    nodes = build(seqs, sizes)
+    root = nodes[0]
+
+    def settle(node: Node) -> None:
+        if not node.same and all(k.same for k in node.kids):
+            tops = {find(live[i]) for i in node.ends} | {find(k.rep) for k in node.kids}
+            if len(tops) == 1:
+                node.same, node.rep = True, tops.pop()
+
+    if known:
+        for node in reversed(nodes):
+            settle(node)
     # which of the root's subtrees hold a shingle at all
     owners, shingles = [], []
     for k, kid in enumerate(root.kids):
@@ -206,71 +232,111 @@ def trie_join(sets: list[np.ndarray]) -> list[int]:
                     union(own, live[i])
             stack.extend((k, overlap) for k in node.kids)
         for node in reversed(seen):
-            if not node.same:
-                if all(k.same for k in node.kids):
-                    tops = {find(live[i]) for i in node.ends} | {find(k.rep) for k in node.kids}
-                    if len(tops) == 1:
-                        node.same, node.rep = True, tops.pop()
+            settle(node)
         mark[seq] = False
     return [find(i) for i in range(len(sets))]
 
 
-def _join_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _join_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (fp, root) of a group's sets (fp, root, all) to the first of their class; root in the input: the class so far."""
     pdf = pdf.drop_duplicates("fp").sort_values("fp")
     fp = pdf["fp"].to_numpy()
-    top = trie_join([np.asarray(x, np.int64).view(np.uint64) for x in pdf["all"]])
-    return pd.DataFrame({"fp": fp, "root": fp[top]})
+    top = np.asarray(trie_join([np.asarray(x, np.int64).view(np.uint64) for x in pdf["all"]], pdf["root"].tolist()), np.int64)
+    return pd.DataFrame({"fp": fp, "root": fp[top]})[top != np.arange(len(fp))]
+
+
+def _linked(sets: DataFrame, keys: list[str], known: DataFrame | None) -> DataFrame:
+    """Links inside the groups of sets (fp, all, keys), staged; known: classes (fp, root) of earlier links."""
+    sets = sets.withColumn("root", F.col("fp")) if known is None else sets.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return stage(sets.groupBy(*keys).applyInPandas(_join_group, "fp long, root long"), "links")
+
+
+def _parts(sets: Column, shingles: Column, chunk: int) -> Column:
+    return F.greatest(F.ceil(sets / F.lit(chunk)), F.ceil(shingles / F.lit(CHUNK_SHINGLES))).cast("int")
+
+
+def _numbers(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _large_blocks(rows: DataFrame, n_blocks: int, chunk: int) -> DataFrame:
+    """Links (fp, root) of blocks in chunks: rows (fp, block, all, g, c), with c the set's chunk of g."""
+    links, known, pool = None, None, rows.select("fp", "block")
+    for turn in range(ROUNDS):
+        order = F.xxhash64("fp", F.lit(turn))
+        pivots = pool.groupBy("block", F.pmod(order, F.lit(PIVOTS)).alias("_k")).agg(F.min_by("fp", order).alias("fp")).select("block", "fp")
+        some = rows if turn == 0 else rows.join(broadcast_if_small(pool.select("block").distinct(), n_blocks, 8), "block", "left_semi")
+        sent = rows.join(broadcast_if_small(pivots, n_blocks * PIVOTS, 16), ["block", "fp"]).select("fp", "block", "all", _numbers("g").alias("c"))
+        found = _linked(some.select("fp", "block", "all", "c").union(sent), ["block", "c"], known)
+        links = found if links is None else links.union(found)
+        known = stage(components(links.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root"), "known")
+        named = stage(rows.select("fp", "block", F.size("all").alias("n")).join(known, "fp", "left").select("fp", "block", "n", F.coalesce("root", "fp").alias("root")), "named")
+        counts = named.groupBy("block", "root").agg(F.count("*").alias("k"))
+        top = counts.groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
+        out = stage(named.join(broadcast_if_small(top, n_blocks, 16), "block").where("root <> top").select("fp", "block", "n"), "out")
+        left = stage(out.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), chunk).alias("h")), "left")
+        # blocks whose rest is more than a chunk try other pivots, from the rest
+        pool = out.join(broadcast_if_small(left.where("h > 1").select("block"), n_blocks, 8), "block", "left_semi").select("fp", "block")
+        if pool.isEmpty():
+            break
+    left = broadcast_if_small(left, n_blocks, 16)
+    every = rows.join(left, "block").select("fp", "block", "all", "c", _numbers("h").alias("o"))
+    rest = rows.join(out.select("fp", "block"), ["fp", "block"], "left_semi").join(left, "block")
+    rest = rest.select("fp", "block", "all", _numbers("g").alias("c"), F.pmod(F.xxhash64("fp", F.lit(-1)), "h").cast("int").alias("o"))
+    return links.union(_linked(every.union(rest), ["block", "c", "o"], known))
 
 
-def links(docs: DataFrame, sums: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (fp, root) for the sets that are linked to another: one root a class of sets."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, sums: DataFrame, chunk: int = CHUNK_SETS) -> DataFrame:
+    """Rows (fp, root) for the sets that are linked to another: one root a class of sets. Keeps them in the caller's scope."""
+    with scratch(docs.sparkSession):
+        return keep(_links(docs, sums, chunk), "links")
+
+
+def _links(docs: DataFrame, sums: DataFrame, chunk: int) -> DataFrame:
     sets = sums.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s"))
     sets = stage(sets.select("fp", "s.doc_id", "s.n", "s.prefix"), "sets")
     rows = sets.select("fp", "n", F.explode("prefix").alias("t"))
     often = stage(rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    release(spark)
     # both sides grow with the corpus, so it is a shuffle join at every size
     lists = rows.join(often.hint("merge"), "t").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     low = (1 + F.expr("((4 * n + 4) div 5) div 20")).cast("int")  # shared(least(n))
     lists = lists.where(F.size("ts") >= low).select("fp", F.expr("slice(ts, 1, size(ts) - (1 + CAST(((4 * n + 4) div 5) div 20 AS INT)) + 1)").alias("ts"))
     active = stage(lists.select("fp", F.explode("ts.t").alias("t")), "active")
-    release(spark)
     hubs = stage(active.groupBy("t").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub < far").select("t", "hub"), "hubs")
     stars = active.join(hubs, "t").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     blocks = components(stars)
     chosen = blocks.join(sets.select("fp", "doc_id", "n"), blocks.node == F.col("fp")).select("fp", "doc_id", "n", F.col("root").alias("block"))
     chosen = stage(chosen, "chosen")
-    if chosen.isEmpty():
-        return chosen.select("fp", F.col("fp").alias("root")).limit(0)
-    n, widest = chosen.groupBy("block").agg(F.sum("n").alias("w"), F.count("*").alias("c")).agg(F.sum("c"), F.max("w")).first()
-    wanted = chosen.select("doc_id", F.col("fp").alias("want"), "block")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, n, 64).withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
+    n = chosen.count()
+    if n == 0:
+        return chosen.select("fp", F.col("fp").alias("root"))
+    wanted = chosen.select(F.col("doc_id").alias("_d"), F.col("fp").alias("want"), "block")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, n, 24), F.col("doc_id").eqNullSafe(F.col("_d")))
     full = stage(full_sets(texts), "full")
-    release(spark)
-    if widest <= block_words:
-        out = full.groupBy("block").applyInPandas(_join_block, "fp long, root long")
-        return stage(out, "links")
-    parts = chosen.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(block_words)).cast("int").alias("g"))
-    full = full.join(parts, "block").withColumn("c", F.pmod(F.xxhash64("fp"), "g").cast("int"))
-    full = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    full = full.select("fp", "all", "block", F.least("c", "k").alias("i"), F.greatest("c", "k").alias("j"))
-    found = full.groupBy("block", "i", "j").applyInPandas(_join_block, "fp long, root long")
-    pairs = components(stage(found, "found").select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    return stage(pairs.select(F.col("node").alias("fp"), "root"), "links")
-
-
-def classes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    if full.count() > n:  # rows of equal doc_id and set
+        full = stage(full.groupBy("fp").agg(F.first("block").alias("block"), F.first("all").alias("all")), "full")
+    large = chosen.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), chunk).alias("g")).where("g > 1")
+    large = stage(large, "large")
+    n_blocks = large.count()
+    found = _linked(full.join(broadcast_if_small(large, n_blocks, 16), "block", "left_anti").select("fp", "block", "all"), ["block"], None)
+    if n_blocks:
+        cut = full.join(broadcast_if_small(large, n_blocks, 16), "block").withColumn("c", F.pmod(F.xxhash64("fp"), "g").cast("int"))
+        found = found.union(_large_blocks(stage(cut.select("fp", "block", "all", "g", "c"), "cut"), n_blocks, chunk))
+    return components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
+
+
+def classes(docs: DataFrame, chunk: int = CHUNK_SETS) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, fp, root for docs (doc_id, text); root is one hash a class."""
-    sums = stage(summaries(docs), "sums")
-    found = links(docs, sums, block_words)
-    named = sums.select("doc_id", "n", "fp")
-    named = named.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    named = stage(named, "named")
-    first = stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    out = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
-    alone = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.col("fp").alias("root"))
-    return out.union(alone)
+    with scratch(docs.sparkSession):
+        sums = stage(summaries(docs), "sums")
+        found = links(docs, sums, chunk)
+        named = sums.select("doc_id", "n", "fp")
+        named = named.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
+        named = stage(named, "named")
+        first = stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+        out = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
+        alone = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.col("fp").alias("root"))
+        return keep(out.union(alone), "classes")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -288,20 +354,22 @@ def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     def summary(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(len(u), h) for u, h in _sets(pa.array(text, pa.string(), from_pandas=True))], columns=["n", "fp"])
 
-    found = stage(classes(docs).where("doc_id IS NOT NULL"), "classes")
-    sets = found.where("n_shingles > 0")
-    again = stage(found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n_shingles").alias("n")).where("c > 1 AND n > 0").select("doc_id"), "again")
-    # of the other documents the id tells the text
-    apart = stage(sets.where("doc_id <> component_id").select("doc_id").union(again).distinct(), "apart")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = docs.join(broadcast_if_small(apart, apart.count(), 16), "doc_id", "left_anti").select(*columns)
-    n = again.count()
-    if n == 0:
-        return stay
-    few = broadcast_if_small(again, n, 16)
-    first = sets.where("doc_id = component_id").join(few, "doc_id", "left_semi").groupBy("root", "doc_id").agg(F.min("fp").alias("_fp"))
-    mixed = docs.join(few, "doc_id", "left_semi").select(F.struct(*columns).alias("_row"), "doc_id", "text", summary("text").alias("_s"))
-    mixed = stage(mixed.select("_row", "doc_id", "text", F.col("_s.n").alias("_n"), F.col("_s.fp").alias("_fp")), "mixed")
-    once = mixed.where("_n > 0").join(first.select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi")
-    once = once.groupBy("doc_id", "_fp").agg(F.min_by("_row", "text").alias("_row"))
-    return stay.union(mixed.where("_n = 0").select("_row.*")).union(once.select("_row.*"))
+    with scratch(docs.sparkSession):
+        found = stage(classes(docs).where("doc_id IS NOT NULL"), "classes")
+        sets = found.where("n_shingles > 0")
+        again = keep(found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n_shingles").alias("n")).where("c > 1 AND n > 0").select("doc_id"), "again")
+        # of the other documents the id tells the text
+        apart = keep(sets.where("doc_id <> component_id").select("doc_id").union(again).distinct(), "apart")
+        stay = docs.join(broadcast_if_small(apart, apart.count(), 8), "doc_id", "left_anti").select(*columns)
+        n = again.count()
+        if n == 0:
+            return stay
+        few = broadcast_if_small(again, n, 8)
+        first = sets.where("doc_id = component_id").join(few, "doc_id", "left_semi").groupBy("root", "doc_id").agg(F.min("fp").alias("_fp"))
+        mixed = docs.join(few, "doc_id", "left_semi").select(F.struct(*columns).alias("_row"), "doc_id", "text", summary("text").alias("_s"))
+        mixed = stage(mixed.select("_row", "doc_id", "text", F.col("_s.n").alias("_n"), F.col("_s.fp").alias("_fp")), "mixed")
+        once = mixed.where("_n > 0").join(first.select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi")
+        once = once.groupBy("doc_id", "_fp").agg(F.min_by("_row", "text").alias("_row"))
+        more = keep(mixed.where("_n = 0").select("_row").union(once.select("_row")), "more")
+    return stay.union(more.select("_row.*"))

@@ -5,12 +5,13 @@ the languages with +1 from those with -1. A text's bit scores are compared with
 logistic loss weighted by each bit's separation in training, names the language. A small gap to the second marks
 ambiguity.
 
-The classifiers are fitted on a bounded sample: about ``per_language`` rows of each of the ``languages`` most frequent
-values, chosen by a hash of id and text. Prediction reads whole texts, in blocks of fixed size.
+The classifiers are fitted on a bounded sample: about ``per_language`` rows of every language, chosen by a hash of id
+and text. The model grows with the number of languages alone. Prediction reads whole texts, in blocks of fixed size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled rows every text is
-``und``; with one language every text with a letter is that language; equal texts get equal results; columns beside
-those named are ignored.
+``und``; with one language every text with a letter is that language; a text of under three bytes has no n-gram, and is
+the first language, flagged as ambiguous; equal texts get equal results; columns beside those named are ignored, and may
+have any name; very long texts are read whole, a block at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ BLOCK = 1 << 19
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 2000
-    languages: int = 256
     buckets_log2: int = 14
     smoothing: float = 0.5
     ambiguous_gap: float = 0.02
@@ -104,12 +104,12 @@ def _each(column: pa.Array, log2: int):
 def train(docs: DataFrame, s: Settings = Settings()) -> dict | None:
     """Fit on docs (doc_id, text, lang); None without labelled rows. The counts of the sample are summed by Spark."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()  # at most `languages` rows
-    langs = sorted(r["lang"] for r in counts)
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # a row a language: the classes of the model
     if not langs:
         return None
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 20, -(-(s.per_language << 20) // r["count"])))])
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.coalesce(F.get(F.array(rate[F.col("lang")]), F.lit(0)), F.lit(0)))
+    rates = counts.select("lang", F.least(F.lit(1 << 20), F.ceil(F.lit(s.per_language << 20) / F.col("n"))).alias("_rate"))
+    sample = docs.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("_rate"))
     log2 = s.buckets_log2
 
     def count(batches):
@@ -126,8 +126,8 @@ def train(docs: DataFrame, s: Settings = Settings()) -> dict | None:
 
     table = sample.select("text", "lang").mapInArrow(count, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     hist = np.zeros((len(langs), 1 << log2))
-    pdf = table.toPandas()  # at most languages * 2^buckets_log2 rows, whatever the corpus
-    hist[[langs.index(x) for x in pdf["lang"]], pdf["g"].to_numpy(dtype=int)] = pdf["n"].to_numpy(dtype=float)
+    pdf, row = table.toPandas(), {x: i for i, x in enumerate(langs)}  # at most languages * 2^buckets_log2 rows, whatever the corpus
+    hist[[row[x] for x in pdf["lang"]], pdf["g"].to_numpy(dtype=int)] = pdf["n"].to_numpy(dtype=float)
     code = codewords(len(langs))
     p = (hist + s.smoothing) / (hist + s.smoothing).sum(1, keepdims=True)
     if len(langs) == 1:
@@ -150,8 +150,8 @@ def decode(sums: np.ndarray, n: np.ndarray, model: dict) -> tuple[np.ndarray, np
     return best, 1.0 / np.exp(-4 * (loss - low[:, None])).sum(1), gap
 
 
-def identify(docs: DataFrame, model: dict | None, keep: list[str], s: Settings = Settings()) -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred, score and ambiguous, from text alone."""
+def identify(docs: DataFrame, model: dict | None, keep: list[str], s: Settings = Settings(), only_clear: bool = False) -> DataFrame:
+    """Columns ``keep`` of docs with lang_pred, score and ambiguous, from text alone; or the columns alone of the clear rows."""
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
@@ -183,6 +183,8 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str], s: Settings =
     slim = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keep, names)], F.coalesce(F.col("text"), F.lit("")).alias("text"), letter.alias("has"))
     kinds = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, (docs.schema[c] for c in keep)))
     out = slim.mapInArrow(predict, f"{kinds + ', ' if kinds else ''}lang_pred string, score double, ambiguous boolean")
+    if only_clear:
+        return out.where("NOT ambiguous").select(*[F.col(a).alias(c) for c, a in zip(keep, names)])
     return out.select(*[F.col(a).alias(c) for c, a in zip(keep, names)], "lang_pred", "score", "ambiguous")
 
 
@@ -206,4 +208,4 @@ def language_filter(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()))
     if model is None:
         return docs
-    return identify(docs, model, docs.columns).where(~F.col("ambiguous")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, model, docs.columns, only_clear=True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import keep, scratch, stage
 from .tokens import END, default_tokenizer, word_encoder
 
 LENGTH, BLOCK, ISLANDS = 4096, 2048, 3
@@ -166,6 +166,11 @@ def _round(pool: DataFrame, blocks: int, islands: int, length: int, seed: int) -
 
 def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: int = ISLANDS, seed: int = 11, tokenizer: str | None = None) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset for docs (doc_id, text)."""
+    with scratch(docs.sparkSession):
+        return keep(_packed(docs, length, block, islands, seed, tokenizer), "packed")
+
+
+def _packed(docs: DataFrame, length: int, block: int, islands: int, seed: int, tokenizer: str | None) -> DataFrame:
     cut = stage(pieces(docs, length, tokenizer), "pieces")
     cut = stage(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]

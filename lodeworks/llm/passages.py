@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, partitions, ranked, release, stage
+from .common import broadcast_if_small, keep, partitions, ranked, scratch, stage
 from .shingles import WIDTH, mix, shingle_rows, word_blocks
 
 #: Least words of a passage, hash functions, and how many of them must agree.
@@ -189,17 +189,14 @@ def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: i
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
     sigs = windows(texts, words, hashes).groupBy("sig").agg(F.min("th").alias("a"), F.max("th").alias("b"))
     sigs = stage(sigs.where("a < b").select("sig"), "sigs")
-    release(spark)
     marked = windows(texts, words, hashes).join(broadcast_if_small(sigs, sigs.count(), 16), "sig", "left_semi")
     # copies of a text have the same windows
     marked = marked.groupBy("th", "j", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
     runs = stage(ranked(candidates(marked, words, agree), ["doc_id", "th"], "rid"), "runs")
-    release(spark)
     n = runs.agg(F.coalesce(F.sum(F.size("runs") + 4), F.lit(0))).first()[0]
     rows = stage(_covered(texts.join(broadcast_if_small(runs, n, 8), ["doc_id", "th"]).select("rid", "text", "runs")), "rows")
     hubs = rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
     hubs = stage(hubs.where("first < last").select("s", "first"), "hubs")
-    release(spark)
     at = rows.join(hubs.hint("merge"), "s").select("rid", "pos", "first").repartition(partitions(spark), "rid").dropDuplicates(["rid", "pos"])
     # a run of t shingles counts if enough of them are there; all of it is then part of a passage
     order = Window.partitionBy("rid").orderBy("pos")
@@ -297,5 +294,4 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     new = touched.mapInArrow(run, kinds).select(*[F.col(a).alias(c) for c, a in zip(docs.columns, names)])
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    release(spark)
     return same.union(new.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))

@@ -89,15 +89,15 @@ def measures(text: Column) -> Column:
 
 
 def judged(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFrame:
-    """docs with the measures, base_failed and kept."""
+    """Rows (row, q, base_failed, kept): docs' columns as a struct, so that they may have any names, the measures, and verdicts."""
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     measure = {
-        "n_words": F.col("_q.n_words"),
-        "word_length": ratio("_q.word_chars", "_q.n_words"),
-        "symbol_ratio": ratio("_q.n_symbols", "_q.n_words"),
-        "stop_ratio": ratio("_q.n_stop", "_q.n_words"),
-        "line_ratio": ratio("_q.n_dup_lines", "_q.n_lines"),
-        "repeat_ratio": ratio("_q.n_repeat_words", "_q.n_words"),
+        "n_words": F.col("q.n_words"),
+        "word_length": ratio("q.word_chars", "q.n_words"),
+        "symbol_ratio": ratio("q.n_symbols", "q.n_words"),
+        "stop_ratio": ratio("q.n_stop", "q.n_words"),
+        "line_ratio": ratio("q.n_dup_lines", "q.n_lines"),
+        "repeat_ratio": ratio("q.n_repeat_words", "q.n_words"),
     }
     passed = F.lit(True)
     for _, name, least, most in thresholds:
@@ -105,19 +105,20 @@ def judged(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFr
             passed = passed & (measure[name] >= F.lit(least))
         if most is not None:
             passed = passed & (measure[name] <= F.lit(most))
-    base = (F.col("_q.n_words") < 20) | (100 * F.col("_q.n_repeat_words") > 30 * F.col("_q.n_words"))
-    return docs.withColumn("_q", measures(F.col(text))).withColumn("_base", base).withColumn("_kept", ~F.col("_base") & passed)
+    base = (F.col("q.n_words") < 20) | (100 * F.col("q.n_repeat_words") > 30 * F.col("q.n_words"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measures(F.col(f"`{text}`")).alias("q"))
+    return rows.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & passed)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    return judged(docs).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     q = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop"]
-    return judged(docs).select("doc_id", *[F.col(f"_q.{x}").alias(x) for x in q], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged(docs).select("row.doc_id", *[F.col(f"q.{x}").alias(x) for x in q], "base_failed", "kept")
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))

@@ -13,7 +13,8 @@ first token, number of tokens) is written by Spark and names the files that coun
 Files are opened with pyarrow's file systems, so the folder may be local, HDFS or an object store.
 
 Defined cases: a null text gives the end id alone; rows of equal doc_id are ordered by text, equal rows are all kept; a
-null doc_id sorts first and is stored as the smallest long; an empty table gives an empty index.
+null doc_id sorts first and is stored as the smallest long; an empty table gives an empty index; columns beside doc_id and
+text are ignored, and may have any name; a very long text is one record.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +89,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, fi
             ids, texts = b.column(1).fill_null(NO_ID).to_pylist(), b.column(2).to_pylist()
             part = b.column(0)
             out = {k: [] for k in ("part", "row", "file", "doc_id", "offset", "first", "n_tokens")}
-            for i in range(0, len(ids), 64):
-                for doc_id, where, raw in zip(ids[i : i + 64], part[i : i + 64].to_pylist(), encoder.ids(texts[i : i + 64])):
+            for i in range(0, len(ids), 256):
+                for doc_id, where, raw in zip(ids[i : i + 256], part[i : i + 256].to_pylist(), encoder.ids(texts[i : i + 256])):
                     if sink is None or at >= file_bytes:
                         if sink is not None:
                             sink.close()
@@ -122,23 +124,26 @@ def with_starts(index: DataFrame) -> DataFrame:
     return index.join(F.broadcast(parts), "part").withColumn("start", F.col("_base") + F.col("first")).drop("_base")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records that index rows (file, offset, start) name, in any order; verifies both checksums.
+def read_records(index: DataFrame, folder: str, as_given: bool = False, held: int = 32) -> DataFrame:
+    """Read the records that index rows (file, offset, start) name; verifies both checksums.
 
-    Returns doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit) and ids (binary, unsigned 32-bit).
+    Rows are dealt by file and read in file order, or, if ``as_given``, as they lie in the index's partitions: a shuffled
+    index gives a shuffled read. A task holds up to ``held`` files open. Returns doc_id, start, n_tokens, ids_crc32 (of the
+    ids as unsigned 32-bit) and ids (binary, unsigned 32-bit).
     """
 
     def read(batches):
-        files, store = {}, None
+        files, store = OrderedDict(), None
         for b in batches:
             if store is None:
                 store, root = _open(folder)
             out = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "ids")}
             for name, offset, start in zip(*(c.to_pylist() for c in b.columns)):
                 if name not in files:
-                    for f in files.values():
-                        f.close()
-                    files = {name: store.open_input_file(f"{root}/{name}")}
+                    if len(files) >= held:
+                        files.popitem(last=False)[1].close()
+                    files[name] = store.open_input_file(f"{root}/{name}")
+                files.move_to_end(name)
                 f = files[name]
                 f.seek(offset)
                 doc_id, ids = read_record(f)
@@ -156,12 +161,14 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
 
     # a file's records go to one task in file order; a file is bounded in size, unlike a part of the index
-    rows = index.select("file", "offset", "start").repartition(partitions(index.sparkSession), "file").sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "start")
+    if not as_given:
+        rows = rows.repartition(partitions(index.sparkSession), "file").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op3_binary_records(spark, sf_dir: str) -> DataFrame:
-    """Write all documents as records, then read them back through the index."""
+    """Write all documents as records, then read them back through the index. The files stay: they are the output."""
     folder = scratch_path(spark, "records")
     index = write_records(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
     return read_records(with_starts(index), folder).drop("ids")
