@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -120,17 +121,25 @@ def test_quality(spark, small):
         assert got[i]["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and not (got[i]["base_failed"] and got[i]["kept"])
 
 
-def token_ids(t):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(tokens.default_tokenizer())
-    lib.encode_special_tokens = True
-    return [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
+def token_ids(t):
+    return [*library().encode(t or "", add_special_tokens=False).ids, 1]
 
 
-def test_word_encoder():
+def test_word_encoder(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 500)
+    monkeypatch.setattr(tokens, "AT_ONCE", 700)
     rng, e = random.Random(9), tokens.WordEncoder(tokens.default_tokenizer())
-    odd = ["don't stop", "ΑΣ ΣΑΣ", "x\x1cy z", "a b", "<|endoftext|> hi", "İ#", "d'́ ", "", "a" * 3000, "I'LL GO!!"]
+    assert e.by_word
+    odd = ["don't stop", "ΑΣ ΣΑΣ", "x\x1cy z", "a b", "<|endoftext|> hi", "İ#", "d'́ ", "", "a" * 3000, "I'LL GO!!", "hi <|endoftext|> there", "a<|startoftext|>b <|ENDOFTEXT|>", "'s't ''re'vex.'s 've'", "x'", "'", " \n"]
+    odd += ["".join(map(chr, range(256))), "a".join(map(chr, range(256))), "ab cd " * 900]
+    odd += ["".join(chr(rng.randrange(256)) for _ in range(60)) for _ in range(200)] + ["".join(chr(rng.choice([rng.randrange(256), rng.randrange(0xD7FF)])) for _ in range(60)) for _ in range(200)]
     odd += ["".join(rng.choice("ab cd\n\t'.,#é 1ΣİǺ\x1d́'sreldmtv") for _ in range(60)) for _ in range(300)]
     assert [list(np.frombuffer(x, "<u4")) + [1] for x in e.ids(odd)] == [token_ids(t) for t in odd]
 
@@ -145,6 +154,16 @@ def test_records(spark, small, tmp_path):
     assert got == want
 
 
+def test_shuffled_read(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    index = records.with_starts(records.write_records(docs, str(tmp_path), file_bytes=4000))
+    assert index.select("file").distinct().count() > 8
+    mixed = index.repartition(3).sortWithinPartitions(F.xxhash64("start")).cache()
+    got = records.read_records(mixed, str(tmp_path), as_given=True, held=2).collect()
+    assert [r["start"] for r in got] == [r["start"] for r in mixed.collect()] != sorted(r["start"] for r in got)
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == Counter((i, np.array(token_ids(t), "<u4").tobytes()) for i, t, *_ in DOCS)
+
+
 def test_damaged_record():
     import io
 
@@ -276,11 +295,46 @@ def test_sharding(spark, small):
 
 def test_write_shards_keeps_all_rows(spark, tmp_path):
     rows = [(None, "a", "x"), (None, None, None), (1, "b", "x")] + [(2, "same", "y")] * 9 + [(None, "a", "x")] * 3 + [(3, "c", None)]
-    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), f"{tmp_path}/shards", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sharding.write_shards(docs, f"{tmp_path}/shards", 4) == ("shard", "slot")
     got = spark.read.parquet(f"{tmp_path}/shards").collect()
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(rows)
     for k in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(4))
+    docs = docs.withColumns({"row": F.lit("r"), "shard": F.lit("s"), "d": F.lit(1), "size": F.lit(2), "_k0": F.lit(3), "_s": F.lit(4)})
+    assert sharding.write_shards(docs, f"{tmp_path}/clash", 4) == ("shard_", "slot")
+    got = spark.read.parquet(f"{tmp_path}/clash")
+    assert set(got.columns) == {*docs.columns, "shard_", "slot"} and got.select(docs.columns).exceptAll(docs).count() == 0 and got.count() == len(rows)
+
+
+#: Columns of names that operators may have used inside.
+CLASH = "q row base_failed kept ambiguous has lang_pred score th t cut keep rid runs s first_doc _doc _th _t _q fp n block root c i j all k h _k0 _row _s apart".split()
+
+
+@pytest.mark.parametrize("name", ["quality", "language", "near_duplicates", "repeats"])
+def test_filters_keep_clashing_columns(spark, small, name):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumns({x: F.concat(F.lit(f"{x}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for x in CLASH})
+    more = spark.createDataFrame([(None, None, None, None, None), (None, DOCS[7][1], "en", "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    f = getattr(corpus_pipeline, name)
+    got = f(spark, docs, small)
+    assert got.columns == docs.columns and got.count() > 0
+    plain = f(spark, docs.drop(*CLASH), small)
+    assert got.drop(*CLASH).exceptAll(plain).isEmpty() and plain.exceptAll(got.drop(*CLASH)).isEmpty()
+    assert all(r[x] == f"{x}-{r['doc_id']}" for r in got.where("doc_id IS NOT NULL").collect() for x in CLASH)
+    assert f(spark, docs.limit(0), small).isEmpty()
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    alphabet = [chr(0x4E00 + 40 * k) for k in range(300)]
+    rows = [(k, f"l{k % 300:03d}", "".join(alphabet[k % 300] if rng.random() < 0.8 else rng.choice("abc") for _ in range(60))) for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.identify(docs, language.train(docs), ["doc_id", "lang"]).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and len({r["lang_pred"] for r in got}) > 290
 
 
 def test_topk(spark, small):
@@ -317,8 +371,8 @@ def brute_classes(rows):
     return sorted((i, len(s), low[find(k)]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 300])
-def test_jaccard(spark, small, block_words):
+@pytest.mark.parametrize("chunk", [jaccard.CHUNK_SETS, 4])
+def test_jaccard(spark, small, chunk):
     rng = random.Random(5)
     base = [str(rng.randint(0, 10**6)) for _ in range(90)]
     rows = [(i, t) for i, t, *_ in DOCS]
@@ -328,10 +382,25 @@ def test_jaccard(spark, small, block_words):
             w[rng.randrange(90)] = str(rng.randint(0, 10**6))
         rows.append((1000 + k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, block_words).collect())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, chunk).collect())
     assert got == brute_classes(rows)
 
 
+def test_jaccard_of_a_large_block(spark):
+    """A long chain of near copies, whose ends are far apart, and a block without a large class, all in chunks of three."""
+    rng = random.Random(15)
+    w, rows = [str(rng.randint(0, 10**6)) for _ in range(80)], []
+    for k in range(60):
+        rows.append((2000 - k, " ".join(w)))
+        w[rng.randrange(80)] = str(rng.randint(0, 10**6))
+    tail = [str(rng.randint(0, 10**6)) for _ in range(40)]
+    for k in range(12):
+        own = [str(rng.randint(0, 10**6)) for _ in range(rng.choice([8, 30]))]
+        rows += [(100 + 2 * k, " ".join(own + tail)), (101 + 2 * k, " ".join(own + tail[:-1] + ["end"]))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect())
+    assert got == brute_classes(rows) and len({c for _, _, c in got}) < len(rows) / 2
+
+
 def test_trie_join_random():
     rng = np.random.default_rng(4)
     for _ in range(20):
@@ -346,6 +415,13 @@ def test_trie_join_random():
                     x, y = want[a], want[b]
                     want = [min(x, y) if v in (x, y) else v for v in want]
         assert top == want
+        label = [k if rng.random() < 0.7 else 100 + k % 3 for k in range(40)]
+        for a in range(40):
+            for b in range(a):
+                if label[a] == label[b]:
+                    x, y = want[a], want[b]
+                    want = [min(x, y) if v in (x, y) else v for v in want]
+        assert jaccard.trie_join(sets, label) == want
 
 
 def test_near_duplicate_filter(spark, small):
