@@ -1,23 +1,27 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 A model file's pieces and scores are read as a unigram model: the segmentation with the highest sum of scores wins, as
-the library does for such models. The search keeps back pointers only for a window: as soon as all paths that can still
-win go through one boundary, the ids before it are committed and the window starts there. No path can jump over more
-characters than the longest piece has, so the window stays short wherever the text does not repeat one piece's characters.
+the library does for such models. The search keeps sums for a window alone, which the longest piece bounds, and walks a
+trie of the pieces. Behind the window it keeps a back pointer a character, until all paths that can still win go through
+one boundary: the ids before it are committed and their pointers dropped. Open paths are walked back only after as many
+new characters as the last walk passed, so the time is in proportion to the text, also where paths run side by side for
+long, as in a run of one character; the pointers of such a run take eight bytes a character.
 
 Where no piece reaches over a boundary at all (before a space mark that follows another character, around line ends, and
 between a letter and a mark that no piece joins to one), every path converges; a worker keeps the ids of such stretches,
 which changes no result.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters without a piece fall back to
-bytes; of paths of equal score the one whose last piece starts first wins, as in the library; any text comes back from
-its ids unchanged; columns beside doc_id and text are ignored.
+bytes, and so does the space mark itself where a text holds it, which the library would read as a space; of paths of
+equal score the one whose last piece starts first wins, as in the library; any text comes back from its ids unchanged, if
+the model has byte pieces; columns beside doc_id and text are ignored, and may have any name.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT = 300_000
+#: Stands for a space mark of the text itself. No text holds a lone surrogate, nor does any piece.
+MARK = "\ud800"
+#: Stretches kept by a worker before it starts afresh, and characters of a text over which stretches are not listed.
+KEPT, LISTED = 300_000, 1 << 20
 #: Marks that often follow a word; a stretch ends between a LETTER and one of them if no piece holds a letter and then it.
 MARKS = ".,;:!?*%$&#|"
 LETTER = r"[^\W\d_]"
@@ -37,7 +44,12 @@ class StreamingViterbi:
 
     def __init__(self, pieces: list[tuple[str, float, int]], bytes_at: int | None, unknown: int):
         self.score = {p: (s, i) for p, s, i in pieces}
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for p, found in self.score.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
         self.longest = max(map(len, self.score), default=1)
         self.low = min((s for _, s, _ in pieces), default=0.0) - 10.0
         self.bytes_at, self.unknown = bytes_at, unknown
@@ -54,57 +66,52 @@ class StreamingViterbi:
         self.widest = 0
 
     def _fallback(self, char: str) -> list[int]:
-        return [self.unknown] if self.bytes_at is None else [self.bytes_at + b for b in char.encode("utf-8", "replace")]
+        return [self.unknown] if self.bytes_at is None else [self.bytes_at + b for b in char.replace(MARK, SPACE).encode("utf-8", "replace")]
 
     def commits(self, text: str):
         """Lists of ids, each as soon as it is certain.
 
-        ``best``, ``start`` and ``piece`` describe the best path to each boundary from ``base`` on; boundaries over the
-        current one are open as far as ``reach``. If only one is open, all paths go through it.
+        ``sums`` has the best sum to each boundary from the current one to the furthest that a piece has reached. ``size``
+        and ``piece`` have the last piece of the best path to each boundary from ``base`` on. If only one boundary is open,
+        all paths go through it.
         """
-        get, prefixes, low, n = self.score.get, self.prefixes, self.low, len(text)
-        best, start, piece = [0.0], [0], [-1]
-        base = reach = 0
+        trie, low, n, longest = self.trie, self.low, len(text), self.longest
+        sums, size, piece = [0.0], array("i", [0]), array("i", [-1])
+        base, due = 0, 2 * longest
         for at in range(n):
-            here, end, single = best[at - base], at + 1, False
-            part = text[at]
-            while part in prefixes:
-                found = get(part)
+            here = sums.pop(0)
+            node, k = trie.get(text[at]), 0
+            if node is None or "" not in node:  # sums[k] belongs to the boundary at + 1 + k
+                s = here + low
+                if not sums:
+                    sums.append(None)
+                    size.append(0)
+                    piece.append(-1)
+                if sums[0] is None or s > sums[0]:
+                    sums[0], size[at + 1 - base], piece[at + 1 - base] = s, 1, -1
+            while node is not None:
+                found = node.get("")
                 if found is not None:
-                    k = end - base
-                    while len(best) <= k:
-                        best.append(None)
-                        start.append(at)
+                    while len(sums) <= k:
+                        sums.append(None)
+                        size.append(0)
                         piece.append(-1)
                     s = here + found[0]
-                    if best[k] is None or s > best[k]:
-                        best[k], start[k], piece[k] = s, at, found[1]
-                    if end == at + 1:
-                        single = True
-                    if end > reach:
-                        reach = end
-                if end == n:
+                    if sums[k] is None or s > sums[k]:
+                        sums[k], size[at + 1 + k - base], piece[at + 1 + k - base] = s, k + 1, found[1]
+                k += 1
+                if at + k == n:
                     break
-                part += text[end]
-                end += 1
-            if not single:
-                k, s = at + 1 - base, here + low
-                if len(best) <= k:
-                    best.append(None)
-                    start.append(at)
-                    piece.append(-1)
-                if best[k] is None or s > best[k]:
-                    best[k], start[k], piece[k] = s, at, -1
-                reach = max(reach, at + 1)
-            if reach == at + 1:
-                meet = reach
-            elif at + 1 - base >= 2 * self.longest:
+                node = node.get(text[at + k])
+            if len(sums) == 1:
+                meet = at + 1
+            elif at + 1 >= due:
                 # step back from the open ends until their paths meet
-                live = {e for e in range(at + 1, reach + 1) if best[e - base] is not None}
+                live = {at + 1 + k for k, s in enumerate(sums) if s is not None}
                 while len(live) > 1:
                     top = max(live)
                     live.discard(top)
-                    live.add(start[top - base])
+                    live.add(top - size[top - base])
                 meet = live.pop()
             else:
                 continue
@@ -113,23 +120,24 @@ class StreamingViterbi:
                 ids, e = [], meet
                 while e > base:
                     k = e - base
-                    ids.append([piece[k]] if piece[k] >= 0 else self._fallback(text[start[k] : e]))
-                    e = start[k]
+                    ids.append([piece[k]] if piece[k] >= 0 else self._fallback(text[e - size[k] : e]))
+                    e -= size[k]
                 yield [i for x in reversed(ids) for i in x]
-                del best[: meet - base], start[: meet - base], piece[: meet - base]
+                del size[: meet - base], piece[: meet - base]
                 base = meet
+            due = at + 1 + max(2 * longest, at + 1 - base)
 
     def encode(self, text: str) -> bytes:
         """Ids of text as unsigned 32-bit little-endian bytes."""
         if not text:
             return b""
-        text = SPACE + text.replace(" ", SPACE)
+        text = SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)
         if self.stretch is None:
             return np.array([i for c in self.commits(text) for i in c], "<u4").tobytes()
         kept, out = self.kept, []
         if len(kept) > KEPT:
             kept.clear()
-        for part in self.stretch.findall(text):
+        for part in self.stretch.findall(text) if len(text) <= LISTED else (m[0] for m in self.stretch.finditer(text)):
             got = kept.get(part)
             if got is None:
                 got = np.array([i for c in self.commits(part) for i in c], "<u4").tobytes()

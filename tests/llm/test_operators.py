@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from functools import cache
@@ -230,12 +231,35 @@ def test_pieces(spark, small):
     got = {r["doc_id"]: r for r in pieces.op6_sentencepiece(spark, small).collect()}
     assert all(r["round_trip"] for r in got.values())
     for i, t, *_ in DOCS:
-        ids = m.viterbi.encode(t or "")
+        ids = np.array(full_viterbi(m.viterbi, t), "<u4").tobytes()
         assert got[i]["n_pieces"] == len(ids) // 4 and got[i]["ids_crc32"] == zlib.crc32(ids)
 
 
+def test_encode_and_decode_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({"ids": F.lit("x"), "decoded": F.lit("y"), "_k0": F.lit(1)})
+    ids = pieces.encode(docs, ["doc_id", "text", "_k0"])
+    assert ids.columns == ["doc_id", "text", "_k0", "ids"]
+    back = pieces.decode(ids.withColumnRenamed("_k0", "_k1"), ["doc_id", "text", "_k1"]).collect()
+    assert len(back) == len(DOCS) and all(r["decoded"] == (r["text"] or "") for r in back)
+
+
+@pytest.mark.parametrize("c", "=-# x_é")
+def test_time_of_runs_is_in_proportion(c):
+    m = pieces.PieceModel(pieces.default_model())
+    steps = {}
+    for n in (2000, 16000):
+        start = time.process_time()
+        ids = m.encode(c * n + " end")
+        steps[n] = time.process_time() - start
+        assert m.decode(ids) == c * n + " end" and (n > 2000 or np.frombuffer(ids, "<u4").tolist() == full_viterbi(m.viterbi, c * n + " end"))
+    assert steps[16000] < 30 * steps[2000] + 0.2
+
+
 def full_viterbi(v, text):
     """Ids of the best path over the whole text, with no window and no stretches."""
+    if not text:
+        return []
+    text = "▁" + text.replace("▁", pieces.MARK).replace(" ", "▁")
     best, back = [0.0] + [-math.inf] * len(text), [None] * (len(text) + 1)
     for a in range(len(text)):
         found = [(b, *v.score[text[a:b]]) for b in range(a + 1, min(len(text), a + v.longest) + 1) if text[a:b] in v.score]
@@ -252,13 +276,13 @@ def full_viterbi(v, text):
 
 def test_stretches_keep_the_best_path():
     m, rng = pieces.piece_model(pieces.default_model()), random.Random(6)
-    odd = ['"yes", he said ("no"). Then, "why?"', "f(a, b[0], c());\n/* x */ y += {'k': 1.5, 'z': []};", "x²; 3.14, 1,000.00: 50% (§7), [a].b;c #1 &c. |d|", "a.b,c;d:e!f?g*h%i$j&k#l|m", "éa, ñ. 中文, 🙂! ,,;; . ,a", "  ..\n,x ()) ));"]
+    odd = ['"yes", he said ("no"). Then, "why?"', "f(a, b[0], c());\n/* x */ y += {'k': 1.5, 'z': []};", "x²; 3.14, 1,000.00: 50% (§7), [a].b;c #1 &c. |d|", "a.b,c;d:e!f?g*h%i$j&k#l|m", "éa, ñ. 中文, 🙂! ,,;; . ,a", "  ..\n,x ()) ));", "▁a", "▁ ▁▁ b▁", "=" * 300 + "a" + "-" * 200]
     odd += ["".join(rng.choice("ab zé1²_ \n\"')]}(/=" + pieces.MARKS) for _ in range(80)) for _ in range(300)]
     names = [p for p in m.viterbi.score if any(c in pieces.MARKS for c in p)]
     odd += ["".join(rng.choice([rng.choice(names).replace("▁", " "), "word", '"', " "]) for _ in range(25)) for _ in range(300)]
     assert m.viterbi.stretch is not None and any("".join(x) in m.viterbi.score for x in ('",', ").", "));"))
     for t in odd:
-        assert np.frombuffer(m.encode(t), "<u4").tolist() == full_viterbi(m.viterbi, "▁" + t.replace(" ", "▁")) and m.decode(m.encode(t)) == t
+        assert np.frombuffer(m.encode(t), "<u4").tolist() == full_viterbi(m.viterbi, t) and m.decode(m.encode(t)) == t
 
 
 def test_streaming_viterbi_is_viterbi():
@@ -346,6 +370,19 @@ def test_topk(spark, small):
             best = sorted((-sum(a * b for a, b in zip(x, y)), i) for w, i, y in ok if w != u)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.op8_exact_topk(spark, small).collect())) == sorted(want)
+    e = spark.createDataFrame([(q, x) for _, q, x in ok], "vec_id long, x array<long>").withColumns({"uid": F.lit("u"), "q": F.lit(1), "score": F.lit("s")})
+    assert sorted(map(tuple, topk.top_k(e, 5, F.col("vec_id") % 50 == 0, block=7, chunk_bytes=200).collect())) == sorted(want)
+
+
+def test_threshold_search_stops_at_the_bound():
+    rng = np.random.default_rng(3)
+    v = np.floor(rng.normal(0, 60, (800, 6)) * rng.pareto(2, (800, 1)))
+    uid, lists = np.arange(800), np.argsort(v, axis=0, kind="stable")
+    for _ in range(40):
+        q, bound = np.floor(rng.normal(0, 60, 6)), rng.choice([topk.NONE, 20000, 200000, 10**9])
+        best, score = topk.threshold_search(q, 5, v, uid, uid, lists, 4, bound)
+        want = sorted((-s, i) for i, s in enumerate(v @ q) if i != 5 and s >= bound)[:4]
+        assert sorted(zip(-score, best)) == want
 
 
 def brute_classes(rows):
