@@ -6,15 +6,19 @@
    signature of the shingle at c.
 2. Signatures that two or more documents have mark windows. Runs that lie in marked windows of enough hash functions
    (an interval join inside the document) are candidates.
-3. Verification: the shingles of candidates are counted over all documents. A run of the least length of which four
-   fifths or more are in another document's candidates is part of a passage, and runs that meet are one. The first
-   occurrence of a shingle is in the smallest document that holds it.
+3. The shingles of candidates are counted over all documents. A run of the least length of which four fifths or more are
+   in other documents' candidates may be part of a passage, and runs that meet are one. That is done twice, so that what
+   only candidates without such a run hold no longer counts.
+4. Verification by partner: the first document of each shingle of a passage is asked how much of the passage it holds. A
+   passage has the document that holds most as its representative, if that is four fifths or more of it; else it falls
+   into the parts that single documents hold so far, and parts under the least length are none.
 
-Every step is a join or an aggregation by signature or shingle; nothing is compared pair by pair, so a passage that
-thousands of documents share costs as many rows.
+Every step is a join or an aggregation by signature or shingle; a passage is held against the few documents that come
+first for some of its shingles, never against all that share it, so one that thousands share costs as many rows.
 
 Defined cases: null, empty and short texts hold no passage; a passage repeated inside one document only is not reported;
-rows of equal doc_id and text count as one document; columns beside doc_id and text are ignored.
+rows of equal doc_id and text count as one document; rows with a null doc_id are never reported nor changed; columns
+beside doc_id and text are ignored, and may have any name; very long texts are hashed in pieces, whole.
 """
 
 from __future__ import annotations
@@ -172,64 +176,96 @@ def _covered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rid long, s long, pos int")
 
 
-def _islands(rows: DataFrame, gap: int) -> DataFrame:
-    """rows with ``island``: a number that grows where pos jumps by more than gap inside a document."""
-    order = Window.partitionBy("rid").orderBy("pos")
+def _islands(rows: DataFrame, keys: list[str], gap: int, name: str) -> DataFrame:
+    """rows with a number that grows where pos jumps by more than gap inside a group of keys."""
+    order = Window.partitionBy(*keys).orderBy("pos")
     jump = F.when(F.col("pos") - F.lag("pos").over(order) <= gap, 0).otherwise(1)
-    return rows.withColumn("_jump", jump).withColumn("island", F.sum("_jump").over(order)).drop("_jump")
+    return rows.withColumn("_jump", jump).withColumn(name, F.sum("_jump").over(order)).drop("_jump")
+
+
+def _small(df: DataFrame, *arrays: tuple[str, int]) -> DataFrame:
+    """df with a hint for its join by its measured size; arrays: columns of arrays, and the bytes of an element."""
+    cells = sum((F.size(c) for c, _ in arrays), F.lit(0))
+    rows, cells = df.agg(F.count("*"), F.coalesce(F.sum(cells), F.lit(0))).first()
+    fixed = 8 * len(df.columns) + 24 * len(arrays)
+    return broadcast_if_small(df, rows, fixed + -(-cells * max([n for _, n in arrays], default=0) // max(rows, 1)))
+
+
+def _dense(rows: DataFrame, t: int) -> DataFrame:
+    """Rows (rid, pos, s, first) of rows (rid, s, pos) in runs of t shingles of which enough are in other documents too."""
+    hubs = rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").select("s", "first")
+    at = rows.join(hubs.hint("merge"), "s").repartition(partitions(rows.sparkSession), "rid").dropDuplicates(["rid", "pos"])
+    order = Window.partitionBy("rid").orderBy("pos")
+    dense = F.count("*").over(order.rangeBetween(-(t - 1), 0)) >= F.lit(SHARE) * t
+    at = at.withColumn("_dense", dense).withColumn("_in", F.max("_dense").over(order.rangeBetween(0, t - 1)))
+    return at.where("_in").select("rid", "pos", "s", "first")
 
 
 def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: int = AGREE) -> tuple[DataFrame, DataFrame]:
-    """Shingles of repeated passages, and their documents.
+    """Places of repeated passages, and their documents; both are staged in the caller's scope.
 
-    Copies of a text are one here, under their smallest doc_id. The first result has rows rid, pos, island, first (rid
-    of the shingle's first document); the second rid, doc_id, th, with rid a number in the order of doc_id.
+    Copies of a text are one here, under their smallest doc_id. The first result has rows rid, pos, island, sub, partner and
+    first: rid of the document that holds the passage first, and of the one that holds the shingle first. A passage is
+    (rid, island, partner, sub). The second result has rid, doc_id, th, with rid a number in the order of doc_id.
     """
-    spark, t = docs.sparkSession, words - WIDTH + 1
+    t = words - WIDTH + 1
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sigs = windows(texts, words, hashes).groupBy("sig").agg(F.min("th").alias("a"), F.max("th").alias("b"))
+    all_ = stage(windows(texts, words, hashes), "windows")
+    sigs = all_.groupBy("sig").agg(F.min("th").alias("a"), F.max("th").alias("b"))
     sigs = stage(sigs.where("a < b").select("sig"), "sigs")
-    marked = windows(texts, words, hashes).join(broadcast_if_small(sigs, sigs.count(), 16), "sig", "left_semi")
+    marked = all_.join(_small(sigs), "sig", "left_semi")
     # copies of a text have the same windows
     marked = marked.groupBy("th", "j", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
     runs = stage(ranked(candidates(marked, words, agree), ["doc_id", "th"], "rid"), "runs")
-    n = runs.agg(F.coalesce(F.sum(F.size("runs") + 4), F.lit(0))).first()[0]
-    rows = stage(_covered(texts.join(broadcast_if_small(runs, n, 8), ["doc_id", "th"]).select("rid", "text", "runs")), "rows")
-    hubs = rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
-    hubs = stage(hubs.where("first < last").select("s", "first"), "hubs")
-    at = rows.join(hubs.hint("merge"), "s").select("rid", "pos", "first").repartition(partitions(spark), "rid").dropDuplicates(["rid", "pos"])
-    # a run of t shingles counts if enough of them are there; all of it is then part of a passage
-    order = Window.partitionBy("rid").orderBy("pos")
-    dense = F.count("*").over(order.rangeBetween(-(t - 1), 0)) >= F.lit(SHARE) * t
-    at = at.withColumn("_dense", dense).withColumn("_in", F.max("_dense").over(order.rangeBetween(0, t - 1)))
-    return _islands(at.where("_in").drop("_dense", "_in"), int((1 - SHARE) * t) + 1), runs.select("rid", "doc_id", "th")
+    rows = stage(_covered(texts.join(_small(runs, ("runs", 32)), ["doc_id", "th"]).select("rid", "text", "runs")), "rows")
+    rows = stage(_dense(rows, t), "dense").select("rid", "s", "pos")
+    gap = int((1 - SHARE) * t) + 1
+    found = stage(_islands(_dense(rows, t), ["rid"], gap, "island"), "found")
+
+    by_first = found.groupBy("rid", "island", "first").agg(F.count("*").alias("c"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    by_first = stage(by_first, "first")
+    best = F.max_by("first", F.struct("c", -F.col("first"))).alias("partner")
+    whole = by_first.groupBy("rid", "island").agg(best, F.max("c").alias("c"), (F.max("b") - F.min("a") + 1).alias("span"))
+    sure = stage(whole.withColumn("sure", F.col("c") >= F.lit(SHARE) * F.col("span")).select("rid", "island", "partner", "sure"), "sure")
+    some = found.join(sure.where("sure"), ["rid", "island"]).select("rid", "pos", "island", F.lit(0).cast("long").alias("sub"), "partner", "first")
+    # the others, by what each of their first documents holds of them; a document holds all of its own
+    open_ = sure.where("NOT sure").select("rid", "island")
+    asked = by_first.where("first <> rid").join(open_, ["rid", "island"]).select("rid", "island", F.col("first").alias("partner"))
+    rest = found.join(open_, ["rid", "island"])
+    held = asked.join(rest, ["rid", "island"]).join(rows.select(F.col("rid").alias("partner"), "s").distinct().hint("merge"), ["partner", "s"])
+    held = held.select("rid", "pos", "island", "partner", "first").union(rest.where("first = rid").select("rid", "pos", "island", F.col("rid").alias("partner"), "first"))
+    held = _islands(held, ["rid", "island", "partner"], gap, "sub")
+    part = Window.partitionBy("rid", "island", "partner", "sub")
+    n, span = F.count("*").over(part), F.max("pos").over(part) - F.min("pos").over(part) + 1
+    held = held.withColumn("_ok", (n >= F.lit(SHARE) * t) & (n >= F.lit(SHARE) * span)).where("_ok").select("rid", "pos", "island", "sub", "partner", "first")
+    return stage(some.union(held), "places"), runs.select("rid", "doc_id", "th")
 
 
 def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows doc_id, th, n_words, first_doc of texts of ``words`` words or more that two or more doc_ids have."""
-    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_words")).where(F.col("n_words") >= words)
-    groups = stage(texts.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("far")).where("first_doc < far").select("th", "first_doc"), "copies")
-    return texts.join(groups, "th").distinct()
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    groups = texts.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("far")).where("first_doc < far").select("th", "first_doc")
+    groups = stage(groups, "copies")
+    # words are counted in one text of each group
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words")
+    once = texts.join(_small(groups), "th").where("doc_id = first_doc").select("th", "first_doc", n).distinct().where(F.col("n_words") >= words)
+    return texts.select("doc_id", "th").join(_small(stage(once, "once")), "th").distinct()
 
 
 def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows doc_id, start_word, end_word, first_doc, is_first: the repeated passages of each document.
 
-    A text that several documents have whole is one passage of each; passages that its parts share with other texts are
-    given for the smallest of these documents.
+    first_doc is the representative: a document that holds four fifths or more of the passage's shingles, the passage's own
+    document where it is_first. A text that several documents have whole is one passage of each; passages that its parts
+    share with other texts are given for the smallest of these documents.
     """
-    whole = copies(docs, words).select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_first"))
-    found, names = repeated(docs, words)
-    found = stage(
-        found.groupBy("rid", "island").agg(
-            F.min("pos").alias("start_word"), (F.max("pos") + WIDTH).alias("end_word"), F.min("first").alias("first"), F.min(F.col("first") == F.col("rid")).alias("is_first")
-        ),
-        "found",
-    )
-    firsts = names.select(F.col("rid").alias("first"), F.col("doc_id").alias("first_doc"))
-    found = found.join(names.select("rid", "doc_id"), "rid").join(firsts, "first").select("doc_id", "start_word", "end_word", "first_doc", "is_first")
-    return found.union(whole)
+    with scratch(docs.sparkSession):
+        whole = copies(docs, words).select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_first"))
+        found, names = repeated(docs, words)
+        found = found.groupBy("rid", "island", "partner", "sub").agg(F.min("pos").alias("start_word"), (F.max("pos") + WIDTH).alias("end_word"))
+        firsts = names.select(F.col("rid").alias("partner"), F.col("doc_id").alias("first_doc"))
+        found = found.join(names.select("rid", "doc_id"), "rid").join(firsts, "partner")
+        return keep(found.select("doc_id", "start_word", "end_word", "first_doc", (F.col("rid") == F.col("partner")).alias("is_first")).union(whole), "passages")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -242,24 +278,26 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Words of a shingle whose first occurrence is here stay, so that each passage survives once. Other columns are
     unchanged, but for n_chars, which is counted anew where text was cut.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    later = stage(copies(docs, words).where("doc_id <> first_doc").select("doc_id", "th"), "later")
-    if not later.isEmpty():
-        gone = docs.withColumn("th", F.xxhash64("text")).join(broadcast_if_small(later, later.count(), 32), ["doc_id", "th"], "left_anti")
-        docs = stage(gone.select(*[F.col(f"`{c}`") for c in columns]), "docs")
-    found, names = repeated(docs, words)
-    here = F.col("first") == F.col("rid")
-    cut = found.groupBy("rid").agg(
-        F.collect_list(F.when(~here, F.col("pos"))).alias("cut"), F.collect_list(F.when(here, F.col("pos"))).alias("keep")
-    ).where(F.size("cut") > 0)  # places of one document
-    cut = stage(cut.join(names, "rid").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "cut", "keep"), "cut")
-    n = cut.agg(F.coalesce(F.sum(F.size("cut") + F.size("keep") + 8), F.lit(0))).first()[0]
-    joined = docs.withColumn("_t", F.xxhash64("text")).join(
-        broadcast_if_small(cut, n, 4), (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left"
-    )
-    same = joined.where("_doc IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
     names = [f"_k{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
+    at, columns, kinds = docs.columns.index("text"), docs.columns, docs.schema
+    # inside, columns have names of their own, and those of docs cannot clash with any
+    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(columns, names)], F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"))
+
+    with scratch(docs.sparkSession):
+        later = copies(docs, words).where("doc_id <> first_doc").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+        later = stage(later, "later")
+        if not later.isEmpty():
+            plain = keep(plain.join(_small(later), ["_doc", "_th"], "left_anti"), "docs")
+        found, runs = repeated(plain.select(F.col("_doc").alias("doc_id"), F.col(names[at]).alias("text")), words)
+        here = F.col("first") == F.col("rid")
+        gone = (F.col("partner") != F.col("rid")) & ~here
+        cut = found.groupBy("rid").agg(
+            F.collect_set(F.when(gone, F.col("pos"))).alias("_cut"), F.collect_set(F.when(here, F.col("pos"))).alias("_keep")
+        ).where(F.size("_cut") > 0)  # places of one document
+        cut = keep(cut.join(runs, "rid").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "_cut", "_keep"), "cut")
+        joined = plain.join(_small(cut, ("_cut", 4), ("_keep", 4)), ["_doc", "_th"], "left")
+    back = [F.col(a).alias(c) for c, a in zip(columns, names)]
+    same = joined.where("_cut IS NULL").select(*back)
 
     def run(batches):
         for b in batches:
@@ -289,9 +327,9 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    touched = joined.where("_doc IS NOT NULL").select(*[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, names)], "cut", "keep")
-    kinds = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, docs.schema))
-    new = touched.mapInArrow(run, kinds).select(*[F.col(a).alias(c) for c, a in zip(docs.columns, names)])
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.union(new.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    touched = joined.where("_cut IS NOT NULL").select(*names, "_cut", "_keep")
+    out = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, kinds))
+    new = touched.mapInArrow(run, out).where(F.col(names[at]).rlike(r"[^\x20\x09-\x0D]")).select(*back)
+    if "n_chars" in columns:
+        new = new.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType))
+    return same.union(new)

@@ -114,6 +114,7 @@ def top_k(vectors: DataFrame, k: int, is_query, block: int = BLOCK, chunk_bytes:
 
 def _top_k(vectors: DataFrame, k: int, is_query, block: int, chunk_bytes: int) -> DataFrame:
     spark = vectors.sparkSession
+    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", F.isnotnull))
     vectors = stage(vectors.select("vec_id", "x").repartition(partitions(spark)), "vectors")
     vectors = stage(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     dim, high, n, nq = vectors.agg(

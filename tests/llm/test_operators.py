@@ -518,6 +518,56 @@ def test_passages(spark, small):
     assert kept[11] == DOCS[11][1] and kept[15] == DOCS[15][1] and 148 <= len(words(kept[12])) <= 150  # a word beside the passage may be the same by chance
 
 
+def shingle_set(w):
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def held_by_representative(rows, found):
+    """Of each passage that is not a first one, the share of its shingles that the document it names holds."""
+    by = {}
+    for i, t in rows:
+        by.setdefault(i, set()).update(shingle_set(words(t)))
+    texts = dict(rows)
+    for r in found:
+        if not r["is_first"]:
+            span = shingle_set(words(texts[r["doc_id"]])[r["start_word"] : r["end_word"]])
+            yield len(span & by[r["first_doc"]]) / len(span)
+
+
+def test_near_passages_are_found(spark):
+    """Passages of shingle similarity 0.8 to 0.9, each in two documents; a third has a part of some, and others two in a row."""
+    rng = random.Random(21)
+    prose = lambda n: [str(rng.randint(0, 10**6)) for _ in range(n)]
+    rows, planted = [], []
+    for k in range(120):
+        base = prose(rng.randint(50, 95))
+        near = list(base)
+        near[rng.randint(5, len(base) - 6)] = "changed"
+        a, b = shingle_set(base), shingle_set(near)
+        assert 0.79 < len(a & b) / len(a | b) <= 0.9
+        before, after = prose(rng.randint(0, 80)), prose(rng.randint(0, 80))
+        rows += [(1000 + k, " ".join(prose(20) + base + prose(40))), (2000 + k, " ".join(before + near + after))]
+        planted.append((2000 + k, len(before), len(near)))
+        if k % 4 == 0:
+            rows.append((100 + k, " ".join(prose(30) + base[:30] + prose(30))))
+        if k % 10 == 0:
+            rows += [(3000 + k, " ".join(base + after)), (4000 + k, " ".join(prose(60)))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    hit = [any(a <= at + n // 2 <= b and b - a >= 0.8 * n for a, b in spans.get(i, [])) for i, at, n in planted]
+    assert np.mean(hit) >= 0.9
+    assert min(held_by_representative(rows, found)) >= 0.8
+    assert not {i for i in spans if 4000 <= i or i < 1000}
+
+
+def test_representatives_hold_their_passages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    held = list(held_by_representative([tuple(r) for r in docs.collect()], passages.passages(docs).collect()))
+    assert len(held) > 20 and min(held) >= 0.8
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
