@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,21 @@ def lower_rank(df: DataFrame, keys: list[str], value: str, name: str, q: float =
     return c.where((F.col("_u") > F.col("_at")) & (F.col("_u") - F.col("_c") <= F.col("_at"))).select(*keys, F.col(value).alias(name))
 
 
+def median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Median per group, the mean of the middle two: from counts of equal values and their running sum, so that a group is
+    as large as its distinct values. Without keys, one row."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumn("_u", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    # places (n - 1) div 2 and n div 2, from 0; one value may hold both
+    holds = lambda at: ((F.col("_u") > F.expr(at)) & (F.col("_u") - F.col("_c") <= F.expr(at))).cast("int")
+    share = (holds("(_n - 1) div 2") + holds("_n div 2")) * F.col(value)
+    return counts.groupBy(*keys).agg((F.sum(share) / 2).alias(name))
+
+
 def outliers(df: DataFrame, value: str, times: float) -> DataFrame:
     """Rows whose value is over ``times`` the median; none if the median is under 1. The median is one broadcast row."""
-    m = df.agg(F.median(value).alias("median"))
-    return df.join(F.broadcast(m), (F.col("median") >= 1) & (F.col(value) > F.lit(times) * F.col("median")))
+    return df.join(F.broadcast(median(df, [], value, "median")), (F.col("median") >= 1) & (F.col(value) > F.lit(times) * F.col("median")))
 
 
 def entropy(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -68,7 +81,8 @@ def new_rows(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
 def missing_peers(sets: DataFrame, key: str, element: str) -> DataFrame:
     """(key, missing): elements that over half of the keys have and this key lacks.
 
-    The common elements are a short list (fewer than twice the mean set size), carried as one row.
+    The common elements are a short list (fewer than twice the mean set size), carried as one row: joins with one row are no
+    pairs.
     """
     n = sets.agg(F.count_distinct(key).alias("_n"))
     common = sets.groupBy(element).agg(F.count("*").alias("_c")).join(F.broadcast(n), F.expr("_c > _n div 2"))
@@ -102,16 +116,28 @@ def covered_length(df: DataFrame, keys: list[str], start: str, width: int, name:
     return df.withColumn("_s", step.cast("long")).groupBy(*keys).agg(F.sum("_s").alias(name))
 
 
-def cloned_words(df: DataFrame, key: str, words: str, width: int) -> DataFrame:
-    """Words of each document inside ``width``-word windows that another document has too.
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: lineage is cut, and lost executors do not lose it. The session's folder is taken."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
-    Windows are hashed, so the join is on 64 bits; hashes are counted with a map-side combine before the join.
+
+def cloned_words(df: DataFrame, keys: list[str], file: str, words: str, width: int) -> DataFrame:
+    """Words of each file inside ``width``-word windows that another file of the same keys has too: (keys, file, duplicated).
+
+    Words are hashed once, and windows from their words' hashes, so the join is on 64 bits; hashes are counted with a
+    map-side combine before the join.
     """
-    n = F.size(words)
-    grams = df.where(n >= width).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))).alias("at", "h"))
-    shared = grams.groupBy("h").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select("h")
-    places = grams.join(shared, "h", "left_semi").select(key, "at").distinct()
-    return covered_length(places, [key], "at", width, "duplicated")
+    hashed = df.select(*keys, file, F.transform(words, lambda x: F.xxhash64(x)).alias("_w")).where(F.size("_w") >= width)
+    windows = F.transform(F.sequence(F.lit(1), F.size("_w") - (width - 1)), lambda i: F.xxhash64(F.slice("_w", i, width)))
+    grams = hashed.select(*keys, file, F.posexplode(windows).alias("at", "h"))
+    shared = grams.groupBy(*keys, "h").agg(F.min(file).alias("_a"), F.max(file).alias("_b")).where("_a < _b").select(*keys, "h")
+    places = grams.join(shared, [*keys, "h"], "left_semi").select(*keys, file, "at").distinct()
+    return covered_length(places, [*keys, file], "at", width, "duplicated")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -121,16 +147,44 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle: the closure by squaring, so that the number of joins is the logarithm of the longest path."""
-    reach, n = edges.distinct(), -1
+    """Nodes on a cycle of edges (src, dst), in work that grows with the edges and the longest path, not with pairs of nodes.
+
+    Nodes without an edge in or out are peeled off. In what remains each node takes the greatest name that reaches it; a
+    node that keeps its own is the root of a component, which is what reaches it back inside its name. Whole components go,
+    and the rest is searched again.
+    """
+    found = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    rest = durable(edges.where("src <> dst").select("src", "dst").distinct())
     while True:
-        a, b = reach.select("src", F.col("dst").alias("m")), reach.select(F.col("src").alias("m"), "dst")
-        reach = reach.union(a.join(b, "m").select("src", "dst")).distinct()
-        reach = reach.checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else reach.persist()
-        now = reach.count()
-        if now == n:
-            return reach.where("src = dst").select(F.col("src").alias("node")).distinct()
-        n = now
+        n = rest.count()
+        if n == 0:
+            return found.distinct()
+        peeled = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        peeled = durable(peeled.select("src", "dst"))
+        if peeled.count() < n:
+            rest = peeled
+            continue
+        names = durable(rest.select(F.col("src").alias("node"), F.col("src").alias("name")).distinct())
+        while True:
+            come = rest.join(names.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("name").alias("_in"))
+            now = durable(names.join(come, "node").select("node", F.greatest("name", "_in").alias("name"), (F.col("_in") > F.col("name")).alias("moved")))
+            names = now.drop("moved")
+            if now.where("moved").isEmpty():
+                break
+        a, b = names.select(F.col("node").alias("src"), F.col("name").alias("_a")), names.select(F.col("node").alias("dst"), F.col("name").alias("_b"))
+        inner = durable(rest.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst"))
+        roots = names.where("node = name").select("node")
+        back, edge = durable(roots), roots
+        while True:  # backwards from the roots
+            edge = durable(inner.join(edge.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            if edge.isEmpty():
+                break
+            back = durable(back.union(edge))
+        # a root alone in its component is on no cycle
+        found = found.union(back.join(inner.select(F.col("src").alias("node")), "node", "left_semi").join(roots, "node", "left_anti"))
+        found = durable(found.union(inner.join(back.select(F.col("node").alias("src")), "src", "left_semi").join(roots.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("node"))).distinct())
+        gone = back.withColumnRenamed("node", "src")
+        rest = durable(rest.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
 
 
 def edge_violations(edges: DataFrame, roles: DataFrame) -> DataFrame:
