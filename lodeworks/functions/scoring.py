@@ -12,8 +12,8 @@ SEVERITY_WEIGHT = {"error": 3.0, "warning": 1.0, "info": 0.2}
 PENALTY_SCALE = 120.0
 # Suffixes of file names that name a platform.
 PLATFORMS = (
-    "aix android darwin dragonfly freebsd illumos ios js linux netbsd openbsd plan9 solaris wasip1 windows "
-    "386 amd64 arm arm64 mips ppc64le riscv64 s390x wasm"
+    "darwin linux windows amd64 arm64 386 unix freebsd netbsd openbsd dragonfly solaris plan9 wasm js wasip1 ios android "
+    "mips mips64 ppc64 riscv64 s390x loong64"
 ).split()
 
 
