@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes; larger sides are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 128 << 20
 #: Spark deletes the shuffle files of a query as it ends, if this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the scopes that are open, the innermost last.

@@ -7,11 +7,11 @@
 2. Signatures that two or more documents have mark windows. Runs that lie in marked windows of enough hash functions
    (an interval join inside the document) are candidates.
 3. The shingles of candidates are counted over all documents. A run of the least length of which four fifths or more are
-   in other documents' candidates may be part of a passage, and runs that meet are one. That is done twice, so that what
-   only candidates without such a run hold no longer counts.
-4. Verification by partner: the first document of each shingle of a passage is asked how much of the passage it holds. A
-   passage has the document that holds most as its representative, if that is four fifths or more of it; else it falls
-   into the parts that single documents hold so far, and parts under the least length are none.
+   in other documents' candidates may be part of a passage, and runs that meet are one.
+4. Verification by partner. Where one document comes first for four fifths of a passage, it is the representative. Else the
+   first and the last documents of its shingles are asked how much of the passage they hold, and then the first of the
+   documents that the same one has answered for. A passage that no document holds so far falls into the parts that single
+   ones do; parts under the least length are none.
 
 Every step is a join or an aggregation by signature or shingle; a passage is held against the few documents that come
 first for some of its shingles, never against all that share it, so one that thousands share costs as many rows.
@@ -191,54 +191,81 @@ def _small(df: DataFrame, *arrays: tuple[str, int]) -> DataFrame:
     return broadcast_if_small(df, rows, fixed + -(-cells * max([n for _, n in arrays], default=0) // max(rows, 1)))
 
 
-def _dense(rows: DataFrame, t: int) -> DataFrame:
-    """Rows (rid, pos, s, first) of rows (rid, s, pos) in runs of t shingles of which enough are in other documents too."""
-    hubs = rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").select("s", "first")
-    at = rows.join(hubs.hint("merge"), "s").repartition(partitions(rows.sparkSession), "rid").dropDuplicates(["rid", "pos"])
-    order = Window.partitionBy("rid").orderBy("pos")
-    dense = F.count("*").over(order.rangeBetween(-(t - 1), 0)) >= F.lit(SHARE) * t
-    at = at.withColumn("_dense", dense).withColumn("_in", F.max("_dense").over(order.rangeBetween(0, t - 1)))
-    return at.where("_in").select("rid", "pos", "s", "first")
-
+def _held(rest: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (rid, island, partner, pos, n): places of rest that the documents asked hold, n of them in the island.
 
-def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: int = AGREE) -> tuple[DataFrame, DataFrame]:
-    """Places of repeated passages, and their documents; both are staged in the caller's scope.
-
-    Copies of a text are one here, under their smallest doc_id. The first result has rows rid, pos, island, sub, partner and
-    first: rid of the document that holds the passage first, and of the one that holds the shingle first. A passage is
-    (rid, island, partner, sub). The second result has rid, doc_id, th, with rid a number in the order of doc_id.
+    rows: (rid, s), whose shingles are in rest. The holders are staged, so that Spark can split a join on a frequent shingle.
+    """
+    names = _small(stage(asked.select("partner").distinct(), "names"))
+    holders = stage(rows.join(names, rows["rid"] == F.col("partner")).select("partner", "s").distinct(), "holders").hint("merge")
+    held = rest.select("rid", "island", "pos", "s").join(_small(asked), ["rid", "island"]).join(holders, ["partner", "s"]).select("rid", "island", "partner", "pos")
+    return stage(held.withColumn("n", F.count("*").over(Window.partitionBy("rid", "island", "partner"))), "held")
+
+
+def _by_partner(rows: DataFrame, rest: DataFrame, spans: DataFrame, t: int, gap: int) -> DataFrame:
+    """Rows (rid, island, partner, pos, sub) of the islands in rest (rid, island, pos, s, first, last), spans (rid, island, a, b)."""
+    ask = lambda rest, c: rest.where(F.col(c) != F.col("rid")).select("rid", "island", F.col(c).alias("partner")).distinct()
+    enough = F.col("n") >= F.lit(SHARE) * (F.col("b") - F.col("a") + 1)
+    good = lambda held: held.select("rid", "island", "partner", "n").distinct().join(spans, ["rid", "island"]).where(enough)
+    first = _held(rest, rows, stage(ask(rest, "first"), "asked"))
+    found = stage(good(first), "good")
+    left = stage(rest.join(found.select("rid", "island").distinct(), ["rid", "island"], "left_anti"), "left")
+    last = _held(left, rows, stage(ask(left, "last").join(ask(left, "first"), ["rid", "island", "partner"], "left_anti"), "asked"))
+    more = stage(good(last), "good")
+    stars = found.union(more).groupBy("partner").agg(F.min("rid").alias("low"))
+    again = more.select("rid", "island", "partner").union(left.select("rid", "island", F.col("rid").alias("partner")).distinct())
+    again = again.join(stars, "partner").where("low < rid").select("rid", "island", F.col("low").alias("partner")).distinct()
+    second = _held(left, rows, stage(again.join(more, ["rid", "island", "partner"], "left_anti"), "again"))
+    found = found.unionByName(more).unionByName(good(second))
+    # the document before that holds most; if only later ones hold it, the passage is first here
+    before = F.when(F.col("partner") < F.col("rid"), F.struct("n", -F.col("partner")))
+    chosen = found.groupBy("rid", "island").agg((-F.max(before)["col2"]).alias("p")).select("rid", "island", F.coalesce("p", "rid").alias("p"))
+    chosen = stage(chosen, "chosen")
+    whole = rest.join(chosen, ["rid", "island"]).select("rid", "island", F.col("p").alias("partner"), "pos", F.lit(0).cast("long").alias("sub"))
+    parts = first.union(last).drop("n").union(rest.where("first = rid").select("rid", "island", F.col("rid").alias("partner"), "pos"))
+    parts = _islands(parts.join(chosen, ["rid", "island"], "left_anti").where("partner <= rid"), ["rid", "island", "partner"], gap, "sub")
+    one = Window.partitionBy("rid", "island", "partner", "sub")
+    n, span = F.count("*").over(one), F.max("pos").over(one) - F.min("pos").over(one) + 1
+    parts = parts.withColumn("_ok", (n >= F.lit(SHARE) * t) & (n >= F.lit(SHARE) * span)).where("_ok")
+    return whole.union(parts.select("rid", "island", "partner", "pos", "sub"))
+
+
+def repeated(docs: DataFrame, words: int = WORDS, hashes: int = HASHES, agree: int = AGREE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Places of repeated passages; all results are staged in the caller's scope.
+
+    Copies of a text are one here, under their smallest doc_id. The results: places (rid, pos, first, island), with first the
+    rid of the document that holds the shingle first; passages of one clear representative (rid, island, partner, a, b); places
+    of the others (rid, island, partner, pos, sub), a passage for each sub; and documents (rid, doc_id, th), with rid a number
+    in the order of doc_id.
     """
     t = words - WIDTH + 1
+    gap = int((1 - SHARE) * t) + 1
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
     all_ = stage(windows(texts, words, hashes), "windows")
     sigs = all_.groupBy("sig").agg(F.min("th").alias("a"), F.max("th").alias("b"))
     sigs = stage(sigs.where("a < b").select("sig"), "sigs")
-    marked = all_.join(_small(sigs), "sig", "left_semi")
     # copies of a text have the same windows
-    marked = marked.groupBy("th", "j", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
+    marked = all_.join(_small(sigs), "sig", "left_semi").groupBy("th", "j", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
     runs = stage(ranked(candidates(marked, words, agree), ["doc_id", "th"], "rid"), "runs")
     rows = stage(_covered(texts.join(_small(runs, ("runs", 32)), ["doc_id", "th"]).select("rid", "text", "runs")), "rows")
-    rows = stage(_dense(rows, t), "dense").select("rid", "s", "pos")
-    gap = int((1 - SHARE) * t) + 1
-    found = stage(_islands(_dense(rows, t), ["rid"], gap, "island"), "found")
+    hubs = stage(rows.groupBy("s").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last"), "hubs")
+    at = rows.join(hubs.select("s", "first").hint("merge"), "s").repartition(partitions(docs.sparkSession), "rid").dropDuplicates(["rid", "pos"])
+    order = Window.partitionBy("rid").orderBy("pos")
+    dense = F.count("*").over(order.rangeBetween(-(t - 1), 0)) >= F.lit(SHARE) * t
+    at = at.withColumn("_dense", dense).withColumn("_in", F.max("_dense").over(order.rangeBetween(0, t - 1))).where("_in").drop("_dense", "_in")
+    found = stage(_islands(at, ["rid"], gap, "island"), "found")
 
     by_first = found.groupBy("rid", "island", "first").agg(F.count("*").alias("c"), F.min("pos").alias("a"), F.max("pos").alias("b"))
-    by_first = stage(by_first, "first")
     best = F.max_by("first", F.struct("c", -F.col("first"))).alias("partner")
-    whole = by_first.groupBy("rid", "island").agg(best, F.max("c").alias("c"), (F.max("b") - F.min("a") + 1).alias("span"))
-    sure = stage(whole.withColumn("sure", F.col("c") >= F.lit(SHARE) * F.col("span")).select("rid", "island", "partner", "sure"), "sure")
-    some = found.join(sure.where("sure"), ["rid", "island"]).select("rid", "pos", "island", F.lit(0).cast("long").alias("sub"), "partner", "first")
-    # the others, by what each of their first documents holds of them; a document holds all of its own
-    open_ = sure.where("NOT sure").select("rid", "island")
-    asked = by_first.where("first <> rid").join(open_, ["rid", "island"]).select("rid", "island", F.col("first").alias("partner"))
-    rest = found.join(open_, ["rid", "island"])
-    held = asked.join(rest, ["rid", "island"]).join(rows.select(F.col("rid").alias("partner"), "s").distinct().hint("merge"), ["partner", "s"])
-    held = held.select("rid", "pos", "island", "partner", "first").union(rest.where("first = rid").select("rid", "pos", "island", F.col("rid").alias("partner"), "first"))
-    held = _islands(held, ["rid", "island", "partner"], gap, "sub")
-    part = Window.partitionBy("rid", "island", "partner", "sub")
-    n, span = F.count("*").over(part), F.max("pos").over(part) - F.min("pos").over(part) + 1
-    held = held.withColumn("_ok", (n >= F.lit(SHARE) * t) & (n >= F.lit(SHARE) * span)).where("_ok").select("rid", "pos", "island", "sub", "partner", "first")
-    return stage(some.union(held), "places"), runs.select("rid", "doc_id", "th")
+    spans = by_first.groupBy("rid", "island").agg(best, F.max("c").alias("c"), F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = stage(spans.withColumn("sure", F.col("c") >= F.lit(SHARE) * (F.col("b") - F.col("a") + 1)), "spans")
+    other = stage(spans.where("NOT sure").select("rid", "island", "a", "b"), "other")
+    rest = stage(found.join(_small(other.select("rid", "island")), ["rid", "island"]).select("rid", "island", "pos", "s", "first"), "rest")
+    wanted = stage(rest.select("s").distinct(), "wanted").hint("merge")  # all sides grow with the corpus
+    rest = stage(rest.join(stage(hubs.join(wanted, "s").select("s", "last"), "ends").hint("merge"), "s"), "rest")
+    held = stage(rows.join(wanted, "s", "left_semi").select("rid", "s"), "held")
+    places = stage(_by_partner(held, rest, other, t, gap), "places")
+    return found, spans.where("sure").select("rid", "island", "partner", "a", "b"), places, runs.select("rid", "doc_id", "th")
 
 
 def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -261,8 +288,9 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         whole = copies(docs, words).select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_first"))
-        found, names = repeated(docs, words)
-        found = found.groupBy("rid", "island", "partner", "sub").agg(F.min("pos").alias("start_word"), (F.max("pos") + WIDTH).alias("end_word"))
+        _, clear, places, names = repeated(docs, words)
+        places = places.groupBy("rid", "island", "partner", "sub").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+        found = clear.drop("island").union(places.select("rid", "partner", "a", "b")).select("rid", "partner", F.col("a").alias("start_word"), (F.col("b") + WIDTH).alias("end_word"))
         firsts = names.select(F.col("rid").alias("partner"), F.col("doc_id").alias("first_doc"))
         found = found.join(names.select("rid", "doc_id"), "rid").join(firsts, "partner")
         return keep(found.select("doc_id", "start_word", "end_word", "first_doc", (F.col("rid") == F.col("partner")).alias("is_first")).union(whole), "passages")
@@ -288,12 +316,14 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         later = stage(later, "later")
         if not later.isEmpty():
             plain = keep(plain.join(_small(later), ["_doc", "_th"], "left_anti"), "docs")
-        found, runs = repeated(plain.select(F.col("_doc").alias("doc_id"), F.col(names[at]).alias("text")), words)
-        here = F.col("first") == F.col("rid")
-        gone = (F.col("partner") != F.col("rid")) & ~here
-        cut = found.groupBy("rid").agg(
-            F.collect_set(F.when(gone, F.col("pos"))).alias("_cut"), F.collect_set(F.when(here, F.col("pos"))).alias("_keep")
-        ).where(F.size("_cut") > 0)  # places of one document
+        found, clear, places, runs = repeated(plain.select(F.col("_doc").alias("doc_id"), F.col(names[at]).alias("text")), words)
+        # a clear passage of another document is cut but for shingles that come first here
+        later = stage(clear.where("partner <> rid").select("rid", "island"))
+        gone = found.join(_small(later), ["rid", "island"], "left_semi").where("first <> rid").select("rid", "pos")
+        gone = stage(gone.union(places.where("partner <> rid").select("rid", "pos")), "gone")
+        here = found.join(_small(stage(gone.select("rid").distinct())), "rid", "left_semi").where("first = rid")
+        cut = gone.select("rid", F.col("pos").alias("_c"), F.lit(None).cast("int").alias("_k")).union(here.select("rid", F.lit(None).cast("int"), "pos"))
+        cut = cut.groupBy("rid").agg(F.collect_set("_c").alias("_cut"), F.collect_set("_k").alias("_keep"))  # places of one document
         cut = keep(cut.join(runs, "rid").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "_cut", "_keep"), "cut")
         joined = plain.join(_small(cut, ("_cut", 4), ("_keep", 4)), ["_doc", "_th"], "left")
     back = [F.col(a).alias(c) for c, a in zip(columns, names)]
