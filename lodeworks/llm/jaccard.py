@@ -10,7 +10,9 @@
    the probe or of the subtree cannot reach the overlap needed, or when all of it is already in the probe's class.
    A block of more than ``CHUNK_SETS`` sets is cut into chunks, a task each. Every chunk also gets a few pivots of the
    block, which tie the classes of its chunks together. What then lies outside the block's largest class, mostly little,
-   meets all chunks; pairs inside a class are left out, as they change nothing.
+   meets all chunks; pairs inside a class are left out, as they change nothing. Where much is left, the block's sets share
+   passages without being similar; such a block is cut anew into as few chunks as fit a task (``COARSE`` shingles), since
+   the trie's bounds leave most of their pairs.
 4. Links make classes; a class is named by its smallest document.
 
 No pair is left out: the prefix lengths, the frequency order and the trie bounds are exact filters, up to collisions of
@@ -36,8 +38,10 @@ from .shingles import mix, shingle_rows, word_blocks
 
 #: Sets and shingles of a block, over which it is joined in chunks of about as many.
 CHUNK_SETS, CHUNK_SHINGLES = 64, 400_000
+#: Shingles of a chunk where much of a block is outside its largest class.
+COARSE = 2_000_000
 #: Sets of a large block that all its chunks get in a round, and rounds before all that is left meets all chunks.
-PIVOTS, ROUNDS = 4, 3
+PIVOTS, ROUNDS = 4, 2
 
 
 def least(n):
@@ -259,7 +263,7 @@ def _numbers(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _large_blocks(rows: DataFrame, n_blocks: int, chunk: int) -> DataFrame:
+def _large_blocks(rows: DataFrame, n_blocks: int, chunk: int, coarse: int) -> DataFrame:
     """Links (fp, root) of blocks in chunks: rows (fp, block, all, g, c), with c the set's chunk of g."""
     links, known, pool = None, None, rows.select("fp", "block")
     for turn in range(ROUNDS):
@@ -274,25 +278,29 @@ def _large_blocks(rows: DataFrame, n_blocks: int, chunk: int) -> DataFrame:
         counts = named.groupBy("block", "root").agg(F.count("*").alias("k"))
         top = counts.groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
         out = stage(named.join(broadcast_if_small(top, n_blocks, 16), "block").where("root <> top").select("fp", "block", "n"), "out")
-        left = stage(out.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), chunk).alias("h")), "left")
+        whole = named.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(coarse)).cast("int").alias("wide"))
+        left = out.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), chunk).alias("h"), F.ceil(F.sum("n") / F.lit(coarse)).cast("int").alias("h_wide"))
+        left = stage(left.join(broadcast_if_small(whole, n_blocks, 16), "block"), "left")
         # blocks whose rest is more than a chunk try other pivots, from the rest
         pool = out.join(broadcast_if_small(left.where("h > 1").select("block"), n_blocks, 8), "block", "left_semi").select("fp", "block")
         if pool.isEmpty():
             break
-    left = broadcast_if_small(left, n_blocks, 16)
-    every = rows.join(left, "block").select("fp", "block", "all", "c", _numbers("h").alias("o"))
-    rest = rows.join(out.select("fp", "block"), ["fp", "block"], "left_semi").join(left, "block")
+    left = left.select("block", F.when(F.col("h") > 1, F.col("wide")).alias("w"), F.when(F.col("h") > 1, F.col("h_wide")).otherwise(1).alias("h"))
+    cut = rows.join(broadcast_if_small(left, n_blocks, 24), "block")
+    cut = cut.withColumn("c", F.when(F.col("w").isNull(), F.col("c")).otherwise(F.pmod(F.xxhash64("fp"), "w").cast("int"))).withColumn("g", F.coalesce("w", "g"))
+    every = cut.select("fp", "block", "all", "c", _numbers("h").alias("o"))
+    rest = cut.join(out.select("fp", "block"), ["fp", "block"], "left_semi")
     rest = rest.select("fp", "block", "all", _numbers("g").alias("c"), F.pmod(F.xxhash64("fp", F.lit(-1)), "h").cast("int").alias("o"))
     return links.union(_linked(every.union(rest), ["block", "c", "o"], known))
 
 
-def links(docs: DataFrame, sums: DataFrame, chunk: int = CHUNK_SETS) -> DataFrame:
+def links(docs: DataFrame, sums: DataFrame, chunk: int = CHUNK_SETS, coarse: int = COARSE) -> DataFrame:
     """Rows (fp, root) for the sets that are linked to another: one root a class of sets. Keeps them in the caller's scope."""
     with scratch(docs.sparkSession):
-        return keep(_links(docs, sums, chunk), "links")
+        return keep(_links(docs, sums, chunk, coarse), "links")
 
 
-def _links(docs: DataFrame, sums: DataFrame, chunk: int) -> DataFrame:
+def _links(docs: DataFrame, sums: DataFrame, chunk: int, coarse: int) -> DataFrame:
     sets = sums.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s"))
     sets = stage(sets.select("fp", "s.doc_id", "s.n", "s.prefix"), "sets")
     rows = sets.select("fp", "n", F.explode("prefix").alias("t"))
@@ -321,15 +329,15 @@ def _links(docs: DataFrame, sums: DataFrame, chunk: int) -> DataFrame:
     found = _linked(full.join(broadcast_if_small(large, n_blocks, 16), "block", "left_anti").select("fp", "block", "all"), ["block"], None)
     if n_blocks:
         cut = full.join(broadcast_if_small(large, n_blocks, 16), "block").withColumn("c", F.pmod(F.xxhash64("fp"), "g").cast("int"))
-        found = found.union(_large_blocks(stage(cut.select("fp", "block", "all", "g", "c"), "cut"), n_blocks, chunk))
+        found = found.union(_large_blocks(stage(cut.select("fp", "block", "all", "g", "c"), "cut"), n_blocks, chunk, coarse))
     return components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
 
 
-def classes(docs: DataFrame, chunk: int = CHUNK_SETS) -> DataFrame:
+def classes(docs: DataFrame, chunk: int = CHUNK_SETS, coarse: int = COARSE) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, fp, root for docs (doc_id, text); root is one hash a class."""
     with scratch(docs.sparkSession):
         sums = stage(summaries(docs), "sums")
-        found = links(docs, sums, chunk)
+        found = links(docs, sums, chunk, coarse)
         named = sums.select("doc_id", "n", "fp")
         named = named.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
         named = stage(named, "named")

@@ -434,7 +434,7 @@ def test_jaccard_of_a_large_block(spark):
     for k in range(12):
         own = [str(rng.randint(0, 10**6)) for _ in range(rng.choice([8, 30]))]
         rows += [(100 + 2 * k, " ".join(own + tail)), (101 + 2 * k, " ".join(own + tail[:-1] + ["end"]))]
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect())
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 600).collect())
     assert got == brute_classes(rows) and len({c for _, _, c in got}) < len(rows) / 2
 
 
@@ -562,6 +562,15 @@ def test_near_passages_are_found(spark):
     assert not {i for i in spans if 4000 <= i or i < 1000}
 
 
+def test_a_passage_whose_parts_others_have_first(spark):
+    rng = random.Random(4)
+    prose = lambda n: [str(rng.randint(0, 10**6)) for _ in range(n)]
+    a, b, own = prose(30), prose(30), [prose(50) for _ in range(9)]
+    rows = [(1, own[0] + a + own[1]), (2, own[2] + b + own[3]), (5, own[4] + a + b), (7, a + b + own[5]), (9, own[6] + a + b + own[7])]
+    found = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["first_doc"], r["is_first"]) for r in found) == [(5, 50, 110, 5, True), (7, 0, 60, 5, False), (9, 50, 110, 5, False)]
+
+
 def test_representatives_hold_their_passages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     held = list(held_by_representative([tuple(r) for r in docs.collect()], passages.passages(docs).collect()))
