@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes; larger sides are joined by shuffle.
 BROADCAST_BYTES = 128 << 20
-#: Spark deletes the shuffle files of a query as it ends, if this is set.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged: Spark deletes the shuffle files of a query as it ends, and sends texts to Python in
+#: batches of at most these bytes, so that an executor's memory does not grow with the length of texts.
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Folders of the scopes that are open, the innermost last.
 _scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
@@ -63,12 +64,14 @@ def scratch_path(spark: SparkSession, what: str, kept: bool = False) -> str:
 def stage(df: DataFrame, what: str = "stage", kept: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors do not lose it."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what, kept)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _STAGING}
+    for k, v in _STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
