@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, packing, passages, pieces, quality, records, sharding, topk, url_filter
+from . import jaccard, language, packing, passages, pieces, quality, records, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_substring_dedup": passages.op10_substring_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
 }
 SQL = {"op1_url_filter": url_filter.SQL, "op4_quality_rules": quality.SQL, "op8_exact_topk": topk.SQL}
