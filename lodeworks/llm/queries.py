@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, packing, passages, pieces, quality, records, repair, sharding, topk, toxicity, url_filter
+from . import alignment, jaccard, language, packing, passages, pieces, quality, records, repair, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_substring_dedup": passages.op10_substring_dedup,
     "op11_toxicity": toxicity.op11_toxicity,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 SQL = {"op1_url_filter": url_filter.SQL, "op4_quality_rules": quality.SQL, "op8_exact_topk": topk.SQL}

@@ -125,3 +125,85 @@ def test_repair_matches_plain_python(spark, tmp_path, monkeypatch, chunk):
 def test_repair_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert repair.op12_conversation_repair(spark, str(tmp_path)).collect() == []
+
+
+# cross-tokenizer alignment
+
+
+def plain_alignment(docs):
+    """Every rule again, token by token."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    chars = sorted(pre_tokenizers.ByteLevel.alphabet())
+    own = [c for c in chars if ord(c) < 256]
+    code = {c: ord(c) for c in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if chr(x) not in own)}
+    piece = lambda p: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
+    links, shapes, count = [], [], {}
+    for _, text in docs:
+        raw = b" " + (text or "").encode()
+        ia, ib = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        ba, bb = [bytes(code[c] for c in a.id_to_token(i)) for i in ia], [piece(b.id_to_piece(i)) for i in ib]
+        if not text or b"".join(ba) != raw or b"".join(bb) != raw:
+            links.append([])
+            shapes.append((0, 0, 0, ""))
+            continue
+        ranges = lambda xs: [(sum(map(len, xs[:k])), sum(map(len, xs[: k + 1]))) for k in range(len(xs))]
+        ra, rb = ranges(ba), ranges(bb)
+        found, j = [], 0
+        for x, (lo, hi) in zip(ia, ra):
+            found += [(x, y) for y, (l2, h2) in zip(ib, rb) if l2 < hi and lo < h2]
+        links.append(found)
+        for p in found:
+            count[p] = count.get(p, 0) + 1
+        cuts = sorted({h for _, h in ra} & {h for _, h in rb})
+        groups = [",".join(str(x) for x, (_, h) in zip(ia, ra) if lo < h <= hi) + "|" + ",".join(str(y) for y, (_, h) in zip(ib, rb) if lo < h <= hi) for lo, hi in zip([0, *cuts], cuts)]
+        shapes.append((len(ia), len(ib), len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    top = {}
+    for (_, y), n in count.items():
+        top[y] = max(top.get(y, 0), n)
+    return sorted(
+        ((d, *s[:3], len(ls), sum(count[p] == top[p[1]] for p in ls), sum(count[p] for p in ls), s[3]) for (d, _), s, ls in zip(docs, shapes, links)), key=str
+    )
+
+
+ODD = [
+    None, "", " ", "  two  spaces\n\n\ttabs ", "a▁b", "<|endoftext|> and <s> </s> <unk> <0x41>", "naïve café – “quotes” €", "漢字かな交じり文 и кириллица", "🙂👍🏽 emoji", "x" * 900, " " * 700 + "end",
+    "It's we'll they've I'd 'S 1234567 ³²¼ \x00\x01\x1c\x85\xa0", "﻿bom ́ combining", "def f(x):\n    return x**2  # code", "word " * 3000, "same text here", "same text here",
+]
+
+
+@pytest.mark.parametrize("block", [40, 4 << 20])
+def test_alignment_matches_plain_python(spark, tmp_path, monkeypatch, block):
+    from lodeworks.llm import alignment
+
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    rng = random.Random(3)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()
+    docs = [(r["doc_id"], r["text"][:600]) for r in rows] + [(1000 + i, x) for i, x in enumerate(ODD)] + [(1000, "a repeated id"), (None, "no id")]
+    docs += [(2000 + i, "".join(chr(rng.choice([rng.randrange(1, 256), rng.randrange(32, 127), 32]))for _ in range(80))) for i in range(60)]
+    data = [(d, x, 1) for d, x in docs]
+    spark.createDataFrame(data, "doc_id long, text string, n_a int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = alignment.op13_tokenizer_alignment(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_alignment(docs)
+
+
+def test_fast_encoder_has_the_library_ids():
+    """Ids of the fast encoder against the library, on texts of all kinds."""
+    from lodeworks.llm import alignment
+
+    t, rng = alignment.tokens(alignment._path("byte_bpe_50k.json"), alignment._path("piece_bpe_32k.model")), random.Random(7)
+    texts = [x for x in ODD if x] + ["".join(chr(rng.randrange(256)) for _ in range(rng.randrange(1, 300))) for _ in range(400)]
+    texts += ["".join(rng.choice("ab 'sSt.,!1²\n\t\x85\xa0\x1céß") for _ in range(rng.randrange(1, 200))) for _ in range(400)]
+    assert t.fast and t.encode_a(texts) == [e.ids for e in t.a.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_alignment_of_nothing(spark, tmp_path):
+    from lodeworks.llm import alignment
+
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert alignment.op13_tokenizer_alignment(spark, str(tmp_path)).collect() == []
