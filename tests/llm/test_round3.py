@@ -207,3 +207,92 @@ def test_alignment_of_nothing(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert alignment.op13_tokenizer_alignment(spark, str(tmp_path)).collect() == []
+
+
+# toxicity
+
+
+def test_codes_cover_texts_in_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lodeworks.llm import toxicity
+
+    rng = random.Random(1)
+    for text in ["", "a", "Idiot!", "".join(rng.choice("aB é.1") for _ in range(500))]:
+        data = " " + "".join(c.lower() if c.isascii() and c.isalpha() else c if ord(c) > 127 else " " for c in text) + " "
+        raw = data.encode()
+        want = sorted(k << 56 | int.from_bytes(raw[i : i + n], "big") for k, n in enumerate(toxicity.SIZES) for i in range(len(raw) - n + 1))
+        for block in (1, 7, 64, 1 << 20):
+            monkeypatch.setattr(toxicity, "BLOCK", block)
+            got = list(toxicity.text_blocks(pa.scalar(text, pa.large_string()).cast(pa.large_binary())))
+            assert sorted(np.concatenate(got).tolist()) == want
+
+
+def test_toxicity_scores_are_the_formula(spark):
+    """Counts, log-count ratios, choice of features and scores again in plain Python."""
+    import math
+
+    import numpy as np
+
+    from lodeworks.llm import toxicity
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["the", "cat", "sat", "Idiot" if i % 3 == 0 else "mat", "on"]) for _ in range(rng.randrange(1, 30)))) for i in range(90)]
+    labels = [(i, int(i % 3 == 0), 7) for i in range(80)]
+    s = toxicity.Settings(features=40)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, text int")
+    model = toxicity.train(d, lab, s)
+
+    def grams(t):
+        raw = (" " + re.sub("[^a-z]", " ", t.lower()) + " ").encode()
+        return [k << 56 | int.from_bytes(raw[i : i + n], "big") for k, n in enumerate(toxicity.SIZES) for i in range(len(raw) - n + 1)]
+
+    p, q = {}, {}
+    for i, t in docs[:80]:
+        for g in set(grams(t)):
+            (p if i % 3 == 0 else q)[g] = (p if i % 3 == 0 else q).get(g, 0) + 1
+    every = sorted(set(p) | set(q))
+    n1, n0 = 27, 53
+    term = lambda a, n: (a * math.log(a / n) if a else 0) + ((n - a) * math.log((n - a) / n) if a < n else 0)
+    gain = {g: round(term(p.get(g, 0), n1) + term(q.get(g, 0), n0) - term(p.get(g, 0) + q.get(g, 0), 80), 6) for g in every}
+    best = sorted(sorted(every, key=lambda g: (-gain[g], g))[:40])
+    assert model["names"].tolist() == best
+    sp, sq = sum(p.values()) + len(every), sum(q.values()) + len(every)
+    r = np.array([math.log((p.get(g, 0) + 1) / sp) - math.log((q.get(g, 0) + 1) / sq) for g in best])
+    x = np.array([[r[k] * math.log1p(grams(t).count(g)) for k, g in enumerate(best)] for _, t in docs])
+    y = np.array([int(i % 3 == 0) for i in range(80)])
+    w = toxicity.fit(x[:80], y, s)
+    want = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    got = {row["doc_id"]: row["score"] for row in toxicity.score(d, model, ["doc_id"]).collect()}
+    assert np.allclose([got[i] for i in range(90)], want, atol=1e-6)
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i, t in docs if "Idiot" in t or i % 3)
+
+
+def test_toxicity_held_out(spark):
+    from lodeworks.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op11_toxicity(spark, sf).join(marks, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.98
+    assert not any(r["predicted"] for r in got if r["toxic"] == 0)
+    assert sum(r["predicted"] for r in got) / sum(r["toxic"] for r in got) > 0.9
+
+
+def test_toxicity_edge_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated labels, equal rows, clashing columns, a very long text, empty tables."""
+    from lodeworks.llm import toxicity
+
+    docs = [(i, "you idiot" if i % 2 else "good day", 0.5) for i in range(40)] + [(50, None, 0.5), (51, "", 0.5), (None, "you idiot", 0.5), (1, "you idiot", 0.5), (60, "good day " * 200000 + "you idiot", 0.5)]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (4, None), (None, 1), (50, 0)]
+    for name, rows, label in (("a", docs, labels), ("b", docs, []), ("c", [], labels), ("d", docs, [(i, 1) for i in range(9)])):
+        spark.createDataFrame(rows, "doc_id long, text string, score double").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(label, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = toxicity.op11_toxicity(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] is not None and r["doc_id"] < 40)
+    assert len({r["score"] for r in got if r["doc_id"] in (50, 51)}) == 1
+    assert {r["score"] for r in toxicity.op11_toxicity(spark, f"{tmp_path}/b").collect()} == {0.0}
+    assert toxicity.op11_toxicity(spark, f"{tmp_path}/c").collect() == []
+    assert {r["score"] for r in toxicity.op11_toxicity(spark, f"{tmp_path}/d").collect()} == {1.0}
