@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import blueprints as B
 from lodeworks.operators import modules as M
+from lodeworks.operators import relational as R
 from lodeworks.plans.catalogue import query, table
 
 # A part's size says which file of its module (brand) it is: by layout, folder and name, and what the file holds.
@@ -131,8 +132,9 @@ _GOLDEN = f"""{_ELEMENTS}, w AS (SELECT repo_id, module, count(*) AS n, count(DI
 
 
 def _golden(spark, d):
-    files = source_files(spark, d)
-    members = M.module_files(files)
+    """Facts are derived, and members found, once for the many joins that read them."""
+    files = R.durable(source_files(spark, d))
+    members = R.durable(M.module_files(files))
     return files, members, B.golden_scores(members, B.elements(files))
 
 
