@@ -1,15 +1,17 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt into blocks of about ``block`` pieces. Each block is worked on by several islands, one task row each:
-an island breeds packings in which a gene is a whole sequence. Crossover injects well-filled sequences of one parent into
-the other, drops sequences that hold the same pieces twice, and best-fits the pieces set free. After an epoch every
-island's elite moves to the next island of the ring, and a second epoch follows; the best packing of a block's islands
-counts. Each block's emptiest sequence then goes back to a common pool, which is packed again until one block holds it.
-There are so few blocks that they hold ``LEAST_FULL`` sequences on average: where pieces are short, blocks have more of
-them. Some block then fills more than one sequence, so every round shortens the pool.
+Pieces are ranked by length and dealt in turn into blocks of about ``block`` pieces, so that each block has the mix of the
+whole, whatever the order of the input. Each block is worked on by several islands, one task row each: an island breeds
+packings in which a gene is a whole sequence. Crossover injects well-filled sequences of one parent into the other, drops
+sequences that hold the same pieces twice, and best-fits the pieces set free. After an epoch every island's elite moves to
+the next island of the ring, and a second epoch follows; the best packing of a block's islands counts. Sequences that are
+under ``FULL`` go back to a common pool, which is packed again, until the sequences are as few as the tokens allow, one
+block holds the pool, or ``STUCK`` rounds in turn have hardly shortened it. There are so few blocks that they hold
+``LEAST_FULL`` sequences on average: where pieces are short, blocks have more of them.
 
 Defined cases: a null or empty text has the end id alone; a document is cut only where it is longer than a sequence;
-equal rows are packed separately; an empty table gives no rows; columns beside doc_id and text are ignored.
+equal rows are packed separately; an empty table gives no rows; columns beside doc_id and text are ignored,
+and may have any name; a very long text is read whole by one call of the tokenizer, and then cut.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, scratch, stage
+from .common import keep, ranked, scratch, stage
 from .tokens import END, default_tokenizer, word_encoder
 
 LENGTH, BLOCK, ISLANDS = 4096, 2048, 3
 PARENTS, OFFSPRING, WELL_FILLED = 4, 6, 0.99
 #: Sequences that a block's tokens fill on average at least, if there are several blocks; over 1, or packing may not end.
 LEAST_FULL = 4
+#: From this share a sequence stays as it is; rounds that may leave over ``SHRINK`` of the pool's tokens before packing ends.
+FULL, SHRINK, STUCK = 0.995, 0.9, 2
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -129,10 +133,10 @@ def block_count(n: int, total: int, block: int, length: int) -> int:
 
 
 def _round(pool: DataFrame, blocks: int, islands: int, length: int, seed: int) -> DataFrame:
-    """pool, its rows numbered by uid, with columns b, bin, offset and left: in the block's emptiest bin."""
+    """pool with columns b, bin, offset and fill, the tokens of the row's bin."""
     item = F.struct(F.col("length"), "uid", "doc_id", "piece", "start", "ids_crc32")
-    # uid % blocks deals the rows evenly
-    held = stage(pool.groupBy(F.pmod("uid", F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items")), "blocks")
+    dealt = ranked(pool, ["length", "uid"], "_rank").withColumn("b", F.pmod("_rank", F.lit(blocks)))
+    held = stage(dealt.groupBy("b").agg(F.sort_array(F.collect_list(item), asc=False).alias("items")), "blocks")  # a block's pieces
     kind = "b long, island int, sizes array<long>, elite array<int>"
 
     def epoch(k: int):
@@ -159,9 +163,7 @@ def _round(pool: DataFrame, blocks: int, islands: int, length: int, seed: int) -
     rows = held.join(best, "b").select("b", F.posexplode(F.arrays_zip("items", "elite")).alias("at", "x"))
     rows = rows.select("b", F.col("x.elite").alias("bin"), "at", "x.items.*")
     rows = rows.withColumn("offset", F.sum("length").over(Window.partitionBy("b", "bin").orderBy("at")) - F.col("length"))
-    rows = rows.withColumn("fill", F.sum("length").over(Window.partitionBy("b", "bin")))
-    low = F.min(F.struct("fill", "bin")).over(Window.partitionBy("b"))["bin"]
-    return rows.withColumn("left", F.col("bin") == low)
+    return rows.withColumn("fill", F.sum("length").over(Window.partitionBy("b", "bin")))
 
 
 def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, islands: int = ISLANDS, seed: int = 11, tokenizer: str | None = None) -> DataFrame:
@@ -175,20 +177,22 @@ def _packed(docs: DataFrame, length: int, block: int, islands: int, seed: int, t
     cut = stage(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = cut.where(F.col("length") == length).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    pool, done, turn = cut.where(F.col("length") < length), [full], 0
+    pool, done, turn, stuck, before = cut.where(F.col("length") < length), [full], 0, 0, None
     while True:
-        # numbers without gaps, so that blocks are even
         pool = stage(pool.select(*columns, F.monotonically_increasing_id().alias("uid")), "pool")
         n, total = pool.agg(F.count("*"), F.sum("length")).first()
         if n == 0:
             break
-        blocks = block_count(n, total, block, length)
+        stuck = stuck + 1 if before and total > SHRINK * before else 0
+        blocks, before = block_count(n, total, block << stuck, length), total
         solved = stage(_round(pool, blocks, islands, length, seed + turn), "solved")
+        used = solved.select("b", "bin").distinct().count()
         number = (F.lit(turn) * (1 << 50) + F.col("b") * (1 << 22) + F.col("bin")).cast("long")
-        done.append((solved if blocks == 1 else solved.where(~F.col("left"))).select(*columns, number.alias("sequence_id"), "offset"))
-        if blocks == 1:
+        last = blocks == 1 or used <= -(-total // length) or stuck >= STUCK
+        done.append((solved if last else solved.where(F.col("fill") >= FULL * length)).select(*columns, number.alias("sequence_id"), "offset"))
+        if last:
             break
-        pool, turn = solved.where("left"), turn + 1
+        pool, turn = solved.where(F.col("fill") < FULL * length), turn + 1
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
