@@ -1,7 +1,7 @@
 """How repositories are laid out: layers, file names, likeness of modules, duplication, expected folders and files.
 
-``modules`` has a row a module (repo_id, name, path, layers, files). Lists inside a row are those of one module; whatever is
-compared across modules or files is exploded and joined by element.
+``members`` has a row a file of a module (repo_id, module, layer, path), as ``modules.module_files`` gives them: a module of any
+size is never one row. What is gathered of a module is its layers and known suffixes, both bounded by configuration.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from lodeworks.functions import scoring as S
 from lodeworks.operators import facts as T
 from lodeworks.operators import relational as R
 
-MODULES = "repo_id string, name string, path string, layers array<string>, files array<string>"
+MEMBERS = "repo_id string, module string, layer string, path string"
 # Layers, and folder names that stand for them.
 LAYERS = {"domain": "domain", "application": "application", "adapters": "adapters"}
 #: Tokens of a clone, per cent of a file's lines that may be cloned, and the share of like names from which others are issues.
@@ -42,10 +42,10 @@ def import_layer(name: Column, aliases: dict[str, str] = LAYERS) -> Column:
     return F.coalesce(*hits)
 
 
-def layer_violations(files: DataFrame, modules: DataFrame, aliases: dict[str, str] = LAYERS) -> tuple[DataFrame, DataFrame]:
+def layer_violations(files: DataFrame, members: DataFrame, aliases: dict[str, str] = LAYERS) -> tuple[DataFrame, DataFrame]:
     """Issues (repo_id, path, layer, import, pattern) of imports that point outwards, and (repo_id, checked, violations)."""
-    listed = modules.select("repo_id", F.explode("files").alias("path"))
-    own = listed.join(files.select("repo_id", "path", "imports"), ["repo_id", "path"]).where(~T.is_test(F.col("path")))
+    listed = members.select("repo_id", "path").where(~T.is_test(F.col("path")))
+    own = listed.join(files.select("repo_id", "path", "imports"), ["repo_id", "path"])
     own = own.withColumn("layer", file_layer(F.col("path"), aliases)).where("layer IS NOT NULL")
     each = own.select("repo_id", "path", "layer", F.explode("imports").alias("import")).withColumn("to", import_layer(F.col("import"), aliases))
     bad = each.where("layer = 'domain' AND to IN ('application', 'adapters') OR layer = 'application' AND to = 'adapters'")
@@ -53,11 +53,15 @@ def layer_violations(files: DataFrame, modules: DataFrame, aliases: dict[str, st
     return bad.select("repo_id", "path", "layer", "import", F.concat("layer", F.lit("→"), "to").alias("pattern")), counts.na.fill(0, ["violations"])
 
 
-def dependency_direction(checked: DataFrame, graph: DataFrame) -> DataFrame:
-    """Rows (repo_id, score) of 25: files without violations and the graph's score, half each; a side that is missing leaves all to the other."""
+def dependency_direction(repos: DataFrame, checked: DataFrame, graph: DataFrame) -> DataFrame:
+    """Rows (repo_id, score) of 25 for repos (repo_id): files without violations, and the score of graph (repo_id, packages, score), half each.
+
+    A graph of one package or none says nothing, nor do no files with a layer: what is left counts alone, full points if nothing is.
+    """
     rate = F.greatest(F.lit(0.0), 1 - F.col("violations") / F.col("checked"))
-    both = checked.select("repo_id", rate.alias("rate")).join(graph.select("repo_id", F.col("score").alias("graph")), "repo_id", "full")
-    return both.select("repo_id", _score(F.coalesce((F.col("rate") + F.col("graph")) / 2, "rate", "graph")).alias("score"))
+    both = repos.select("repo_id").distinct().join(checked.where("checked > 0").select("repo_id", rate.alias("rate")), "repo_id", "left")
+    both = both.join(graph.where("packages > 1").select("repo_id", F.col("score").alias("graph")), "repo_id", "left")
+    return both.select("repo_id", _score(F.coalesce((F.col("rate") + F.col("graph")) / 2, "rate", "graph", F.lit(1.0))).alias("score"))
 
 
 def has_suffix(name: Column, expected: tuple[str, ...]) -> Column:
@@ -71,25 +75,30 @@ def file_names(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
     return own.select("repo_id", "path", name.alias("name")).withColumn("suffixed", has_suffix(F.col("name"), expected))
 
 
-def naming(names: DataFrame) -> DataFrame:
-    """Rows (repo_id, dominant, consistency): whether most files of file_names are suffixed, and how many are as most."""
+def naming(names: DataFrame, convention: str = "auto") -> DataFrame:
+    """Rows (repo_id, dominant, consistency): whether files of file_names should be suffixed, and the share of those that are as they should.
+
+    ``bare`` and ``suffixed`` say what should be; ``auto`` takes what most files are, bare on a tie.
+    """
     a, n = F.count_if("suffixed"), F.count("*")
-    return names.groupBy("repo_id").agg((2 * a > n).alias("dominant"), (F.greatest(a, n - a) / n).alias("consistency"))
+    dominant = {"bare": F.lit(False), "suffixed": F.lit(True)}.get(convention, 2 * a > n)
+    return names.groupBy("repo_id").agg(dominant.alias("dominant"), (F.when(dominant, a).otherwise(n - a) / n).alias("consistency"))
 
 
-def file_naming(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """Rows (repo_id, score) of 25: files named as most are, and where those have suffixes, also the reuse of suffixes."""
+def file_naming(files: DataFrame, expected: tuple[str, ...], convention: str = "auto") -> DataFrame:
+    """Rows (repo_id, score) of 25: files named as they should be, and, if that is with suffixes, the reuse of suffixes too; 0 without files."""
     names = file_names(files, expected)
     known = files.where(~T.is_test(F.col("path"))).withColumn("_name", _base(F.col("path"))).where(has_suffix(F.col("_name"), expected))
     reuse = R.reuse_ratio(known.withColumn("_suffix", F.regexp_extract("_name", "_[^_]*$", 0)), ["repo_id"], "_suffix")
-    rows = naming(names).join(reuse, "repo_id", "left")
-    return rows.select("repo_id", _score(F.when(F.col("dominant"), (F.col("consistency") + F.coalesce("reuse", F.lit(1.0))) / 2).otherwise(F.col("consistency"))).alias("score"))
+    rows = naming(names, convention).join(reuse, "repo_id", "left")
+    rows = rows.select("repo_id", _score(F.when(F.col("dominant"), (F.col("consistency") + F.coalesce("reuse", F.lit(1.0))) / 2).otherwise(F.col("consistency"))).alias("score"))
+    return files.select("repo_id").distinct().join(rows, "repo_id", "left").na.fill(0, ["score"])
 
 
-def naming_issues(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """Rows (repo_id, file, severity, message) of files named unlike most."""
+def naming_issues(files: DataFrame, expected: tuple[str, ...], convention: str = "auto", least: float = CONSISTENT) -> DataFrame:
+    """Rows (repo_id, file, severity, message) of files not named as they should be, in repositories where a share of ``least`` is."""
     names = file_names(files, expected)
-    odd = names.join(naming(names).where(F.col("consistency") >= CONSISTENT), "repo_id").where("suffixed <> dominant")
+    odd = names.join(naming(names, convention).where(F.col("consistency") >= least), "repo_id").where("suffixed <> dominant")
     file = F.concat("name", F.lit(".go"))
     # Messages.
     message = F.when(F.col("dominant"), F.format_string('file "%s" uses bare naming but project uses suffixed pattern', file)).otherwise(
@@ -98,37 +107,43 @@ def naming_issues(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
     return odd.select("repo_id", F.col("path").alias("file"), F.when(F.col("consistency") < 0.40, "warning").otherwise("info").alias("severity"), message.alias("message"))
 
 
-def predictable_structure(modules: DataFrame, files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
+def _known_suffix(path: Column, expected: tuple[str, ...]) -> Column:
+    suffix = F.regexp_extract(_base(path), "_[^_]*$", 0)
+    return F.when(~T.is_test(path) & suffix.isin(*expected), suffix)
+
+
+def predictable_structure(members: DataFrame, files: DataFrame, expected: tuple[str, ...], convention: str = "auto") -> DataFrame:
     """Rows (repo_id, score) of 25: likeness of modules that share a layer, in layers, suffixes and numbers of files."""
-    names = F.transform(F.filter("files", lambda f: ~T.is_test(f)), _base)
-    suffix = lambda n: F.regexp_extract(n, "_[^_]*$", 0)
-    own = modules.select("repo_id", "name", F.array_distinct("layers").alias("l"), F.array_distinct(F.filter(F.transform(names, suffix), lambda x: x.isin(*expected))).alias("s"), F.size(names).alias("n"))
-    by_layer = own.select("repo_id", "name", F.explode("l").alias("layer"))
+    own = members.groupBy("repo_id", "module").agg(
+        F.collect_set("layer").alias("l"), F.collect_set(_known_suffix(F.col("path"), expected)).alias("s"), F.count_if(~T.is_test(F.col("path"))).alias("n")
+    )
+    by_layer = own.select("repo_id", "module", F.explode("l").alias("layer"))
     side = lambda df, p: df.select("repo_id", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in ("repo_id", "layer")], *(["layer"] if "layer" in df.columns else []))
-    pairs = side(by_layer, "a").join(side(by_layer, "b"), ["repo_id", "layer"]).where("aname < bname").select("repo_id", "aname", "bname").distinct()
-    pairs = pairs.join(side(own, "a"), ["repo_id", "aname"]).join(side(own, "b"), ["repo_id", "bname"])
-    pairs = pairs.join(naming(file_names(files, expected)).select("repo_id", "dominant"), "repo_id", "left")
+    pairs = side(by_layer, "a").join(side(by_layer, "b"), ["repo_id", "layer"]).where("amodule < bmodule").select("repo_id", "amodule", "bmodule").distinct()
+    pairs = pairs.join(side(own, "a"), ["repo_id", "amodule"]).join(side(own, "b"), ["repo_id", "bmodule"])
+    pairs = pairs.join(naming(file_names(files, expected), convention).select("repo_id", "dominant"), "repo_id", "left")
     suffixes = F.when(F.coalesce("dominant", F.lit(True)), S.jaccard(F.col("as"), F.col("bs"))).otherwise(1.0)
     like = pairs.groupBy("repo_id").agg((F.avg(S.jaccard(F.col("al"), F.col("bl"))) * 0.5 + F.avg(suffixes) * 0.3 + F.avg(S.similarity(F.col("an"), F.col("bn"))) * 0.2).alias("like"))
     # no two modules that share a layer: full points
-    return modules.select("repo_id").distinct().join(like, "repo_id", "left").select("repo_id", _score(F.coalesce("like", F.lit(1.0))).alias("score"))
+    return files.select("repo_id").distinct().join(like, "repo_id", "left").select("repo_id", _score(F.coalesce("like", F.lit(1.0))).alias("score"))
 
 
-def missing_layers(modules: DataFrame) -> DataFrame:
+def missing_layers(members: DataFrame) -> DataFrame:
     """Rows (repo_id, name, layer, severity): layers that over half of a repository's modules have and this one lacks."""
+    modules = members.select("repo_id", F.col("module").alias("name")).distinct()
     n = modules.groupBy("repo_id").agg(F.count("*").alias("n")).where("n > 1")
-    layers = modules.select("repo_id", "name", F.explode("layers").alias("layer"))
+    layers = members.where("layer IS NOT NULL").select("repo_id", F.col("module").alias("name"), "layer").distinct()
     count = layers.groupBy("repo_id", "layer").agg(F.count("*").alias("c"))
     total = count.groupBy("repo_id").agg(F.count("*").alias("layers"))
     # names of layers are a few a repository; each module is joined with those of its own
     peers = count.join(n, "repo_id").where("c > n div 2").select("repo_id", "layer")
-    lack = modules.select("repo_id", "name").join(peers, "repo_id").join(layers, ["repo_id", "name", "layer"], "left_anti")
+    lack = modules.join(peers, "repo_id").join(layers, ["repo_id", "name", "layer"], "left_anti")
     many = lack.groupBy("repo_id", "name").agg(F.count("*").alias("m")).join(total, "repo_id")
     severity = F.when(F.col("m") > 0.75 * F.col("layers"), "warning").otherwise("info")
     return lack.join(many, ["repo_id", "name"]).select("repo_id", "name", "layer", severity.alias("severity"))
 
 
-def expected_layers(modules: DataFrame, paths: DataFrame, folders: tuple[str, ...], layers: tuple[str, ...], aliases: dict[str, str] = LAYERS, cross: bool = False) -> DataFrame:
+def expected_layers(members: DataFrame, paths: DataFrame, folders: tuple[str, ...], layers: tuple[str, ...], aliases: dict[str, str] = LAYERS, cross: bool = False) -> DataFrame:
     """Rows (repo_id, score) of 25, cut: expected folders at the root and expected layers that are there.
 
     Layers are those of modules, or, in a cross-cutting layout, the folders below ``internal``.
@@ -137,23 +152,23 @@ def expected_layers(modules: DataFrame, paths: DataFrame, folders: tuple[str, ..
     named = lambda x: F.coalesce(*[F.when(x == a, F.lit(b)) for a, b in aliases.items()], x)
     hits = [F.bool_or(F.startswith(F.col("path"), F.lit(f"{d}/"))).cast("int") for d in folders]
     dirs = paths.groupBy("repo_id").agg(reduce(lambda a, b: a + b, hits, F.lit(0)).alias("d"))
-    inner = paths.where(F.startswith("path", F.lit("internal/"))).select("repo_id", F.get(F.split("path", "/"), 1).alias("layer")) if cross else modules.select("repo_id", F.explode("layers").alias("layer"))
+    inner = paths.where(F.startswith("path", F.lit("internal/"))).select("repo_id", F.get(F.split("path", "/"), 1).alias("layer")) if cross else members.select("repo_id", "layer")
     there = inner.select("repo_id", named(F.col("layer")).alias("layer")).where(F.col("layer").isin(*layers)).groupBy("repo_id").agg(F.count_distinct("layer").alias("l"))
     found = (F.col("d") + F.coalesce("l", F.lit(0))) / F.lit(whole) * 25.0 if whole else F.lit(25.0)
     return dirs.join(there, "repo_id", "left").select("repo_id", F.floor(found).alias("score"))
 
 
-def expected_files(modules: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """Rows (repo_id, score) of 25, cut: the mean over modules, those without files too, of the share of files with a known ending."""
-    ok = lambda f: reduce(lambda a, b: a | b, [F.endswith(_base(f), F.lit(x)) for x in (*expected, "_test")])
-    share = F.coalesce(F.try_divide(F.size(F.filter("files", ok)), F.size("files")), F.lit(0.0))
-    return modules.groupBy("repo_id").agg(F.floor(F.round(F.avg(share), 9) * 25.0).alias("score"))
+def expected_files(members: DataFrame, expected: tuple[str, ...]) -> DataFrame:
+    """Rows (repo_id, score) of 25, cut: the mean over modules of the share of files with a known ending."""
+    ok = reduce(lambda a, b: a | b, [F.endswith(_base(F.col("path")), F.lit(x)) for x in (*expected, "_test")])
+    share = members.groupBy("repo_id", "module").agg(F.avg(ok.cast("double")).alias("share"))
+    return share.groupBy("repo_id").agg(F.floor(F.round(F.avg("share"), 9) * 25.0).alias("score"))
 
 
-def bare_contracts(modules: DataFrame, files: DataFrame) -> DataFrame:
+def bare_contracts(members: DataFrame, files: DataFrame) -> DataFrame:
     """Rows (repo_id, name): modules with a domain or application layer of which no file has an interface."""
     inner = F.contains(F.col("path"), F.lit("/domain/")) | F.contains(F.col("path"), F.lit("/application/"))
-    own = modules.select("repo_id", "name", F.explode("files").alias("path")).where(inner)
+    own = members.select("repo_id", F.col("module").alias("name"), "path").where(inner)
     own = own.join(files.select("repo_id", "path", (F.size("interfaces") > 0).alias("i")), ["repo_id", "path"], "left")
     return own.groupBy("repo_id", "name").agg(F.bool_or(F.coalesce("i", F.lit(False))).alias("i")).where("NOT i").select("repo_id", "name")
 

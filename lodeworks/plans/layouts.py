@@ -19,13 +19,12 @@ _KNOWN = "(" + ", ".join(f"'{x}'" for x in EXPECTED) + ")"
 
 
 def part_files(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Facts: files (repo_id, path, imports, interfaces, is_generated) and modules."""
+    """Facts: files (repo_id, path, imports, interfaces, is_generated), and members: the module and layer of each."""
     p = table(spark, d, "part").selectExpr(
         "p_type AS repo_id", "p_brand AS name", f"{_LAYER} AS layer", f"{_PATH} AS path", f"array(concat('m/internal/', {_TO})) AS imports",
         "IF(p_size > 45, array('I'), CAST(array() AS ARRAY<STRING>)) AS interfaces", "p_partkey % 7 = 0 AS is_generated",
     )
-    modules = p.groupBy("repo_id", "name").agg(F.collect_set("layer").alias("layers"), F.collect_list("path").alias("files"))  # a module lists its files
-    return p.drop("name", "layer"), modules.withColumn("path", F.lower("name"))
+    return p.drop("name", "layer"), p.select("repo_id", F.col("name").alias("module"), "layer", "path")
 
 
 _VIOLATES = "(layer = 'domain' AND target IN ('application', 'adapters') OR layer = 'application' AND target = 'adapters')"
@@ -43,8 +42,8 @@ def layer_violations(spark, d):
 )
 def dependency_direction(spark, d):
     """The score of repositories without a graph."""
-    checked = L.layer_violations(*part_files(spark, d))[1]
-    return L.dependency_direction(checked, spark.createDataFrame([], "repo_id string, score double"))
+    files, members = part_files(spark, d)
+    return L.dependency_direction(files, L.layer_violations(files, members)[1], spark.createDataFrame([], "repo_id string, packages long, score double"))
 
 
 _NAMES = f"{_P}, n AS (SELECT repo_id, path, suffix IN {_KNOWN} AS s FROM p WHERE NOT test AND NOT gen), c AS (SELECT repo_id, 2 * count_if(s) > count(*) AS dominant, greatest(count_if(s), count(*) - count_if(s)) / count(*)::DOUBLE AS consistency FROM n GROUP BY 1)"
@@ -82,8 +81,8 @@ _MODULES = f"{_P}, m AS (SELECT repo_id, name, list(DISTINCT layer) AS l, count_
         SELECT repo_id, round((avg(jl) * 0.5 + avg(js) * 0.3 + avg(jn) * 0.2) * 25)::BIGINT AS score FROM x GROUP BY 1""",
 )
 def predictable_structure(spark, d):
-    files, modules = part_files(spark, d)
-    return L.predictable_structure(modules, files, EXPECTED)
+    files, members = part_files(spark, d)
+    return L.predictable_structure(members, files, EXPECTED)
 
 
 @query(
@@ -101,8 +100,8 @@ def missing_layers(spark, d):
     f"""{_P} SELECT repo_id, floor((2 + count(DISTINCT CASE WHEN layer IN ('domain', 'application', 'adapters') THEN layer END) - 1) / 5::DOUBLE * 25)::BIGINT AS score FROM p GROUP BY 1""",
 )
 def expected_layers(spark, d):
-    files, modules = part_files(spark, d)
-    return L.expected_layers(modules, files.select("repo_id", "path"), ("internal", "cmd"), ("domain", "application", "adapters"))
+    files, members = part_files(spark, d)
+    return L.expected_layers(members, files.select("repo_id", "path"), ("internal", "cmd"), ("domain", "application", "adapters"))
 
 
 @query(
@@ -115,8 +114,8 @@ def expected_files(spark, d):
 
 @query("q62_bare_contracts", f"{_P} SELECT repo_id, name FROM p WHERE layer IN ('domain', 'application') GROUP BY 1, 2 HAVING NOT bool_or(p_size > 45)")
 def bare_contracts(spark, d):
-    files, modules = part_files(spark, d)
-    return L.bare_contracts(modules, files)
+    files, members = part_files(spark, d)
+    return L.bare_contracts(members, files)
 
 
 _AGENTS = (("CLAUDE.md", 10, 60), ("AGENTS.md", 10, None), (".cursorrules", 5, 400))
