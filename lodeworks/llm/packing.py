@@ -22,6 +22,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ PARENTS, OFFSPRING, WELL_FILLED = 4, 6, 0.99
 LEAST_FULL = 4
 #: From this share a sequence stays as it is; rounds that may leave over ``SHRINK`` of the pool's tokens before packing ends.
 FULL, SHRINK, STUCK = 0.995, 0.9, 2
+#: Bytes of texts that are made Python strings at once.
+SLICE = 1 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,8 +49,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             names = b.column(0).to_pylist()
-            for i in range(0, len(names), 256):
-                for name, raw in zip(names[i : i + 256], encoder.ids(b.column(1)[i : i + 256].to_pylist())):
+            size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                for name, raw in zip(names[i:j], encoder.ids(b.column(1)[i:j].to_pylist())):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * length)):
                         part = raw[at : at + 4 * length]
