@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from . import common
 from .common import scratch, stage
 
 #: Bytes of text in a block, and blocks whose pairs are counted together. Neither changes a result.
-BLOCK, PART = 4 << 20, 4
+BLOCK, PART = 2 << 20, 8
 # How byte-level BPE splits a text.
 RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with longer runs go to the library, whose search does not slow down on them.
