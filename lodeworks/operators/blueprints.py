@@ -221,7 +221,7 @@ def interface_methods(files: DataFrame) -> DataFrame:
 
 def receiver_methods(files: DataFrame) -> DataFrame:
     """Rows (repo_id, path, package, receiver, method), distinct, of nested functions with a receiver."""
-    fns = T.functions(files).where("fn.receiver <> ''")
+    fns = files.select("repo_id", "path", "package", F.explode("functions").alias("fn")).where("fn.receiver <> ''")
     return fns.select("repo_id", "path", "package", F.regexp_replace(F.col("fn.receiver"), r"^\*", "").alias("receiver"), F.col("fn.name").alias("method")).distinct()
 
 

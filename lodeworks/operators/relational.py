@@ -200,3 +200,22 @@ def rescored(metrics: DataFrame, skipped: DataFrame) -> DataFrame:
     """Category scores out of 100 from the sub-metrics that are not skipped."""
     left = metrics.join(F.broadcast(skipped), ["cat", "sub"], "left_anti")  # a configuration list
     return left.groupBy("cat").agg(F.round(100 * F.sum("score") / F.sum("points"), 6).alias("rescored"))
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with its place, from 0, in the order of ``order`` within keys, nulls first; a group of any size is sorted by many tasks.
+
+    A range shuffle sorts all rows; a row's number is its place in its partition and the rows of the partitions before,
+    and its group's first number is taken off. Equal rows may change places.
+    """
+    rows = df.withColumn("_u", F.monotonically_increasing_id())  # splits ranges of equal rows
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *keys, *order, "_u").sortWithinPartitions(*keys, *order, "_u").withColumn("_m", F.monotonically_increasing_id())
+    rows = durable(rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_u"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rows = rows.join(F.broadcast(starts), "_part").withColumn("_at", F.col("_start") + F.col("_at")).drop("_part", "_start")
+    first = rows.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    first = first.select(*[F.col(k).alias(f"_k{k}") for k in keys], "_first")
+    joined = rows.join(first, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys])
+    return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first", *[f"_k{k}" for k in keys])

@@ -150,8 +150,8 @@ def structure(files: DataFrame, modules: DataFrame) -> DataFrame:
     return _rows(wide, "structure", {"interface_contracts": 25, "module_completeness": 25})
 
 
-def verifiability(files: DataFrame, paths: DataFrame, trees: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """Tests, their names, reproducible builds and type safety (25 points each)."""
+def _verified(files: DataFrame, paths: DataFrame, trees: DataFrame, p: Profile) -> DataFrame:
+    """A row a repository: the four scores of verifiability, and what each counts."""
     path, go = F.col("path"), F.endswith(F.col("path"), F.lit(".go"))
     tree = paths.groupBy("repo_id").agg(
         F.count_if(go & T.is_test(path)).alias("tests"), F.count_if(go & ~T.is_test(path)).alias("sources"), F.bool_or(path == "go.sum").alias("locked"),
@@ -173,11 +173,40 @@ def verifiability(files: DataFrame, paths: DataFrame, trees: DataFrame, p: Profi
     few = F.when(F.coalesce("params", F.lit(0)) == 0, 10).when(loose < 0.05, 10).when(loose < 0.15, 5).otherwise(0)
     sure = F.when(F.coalesce("casts", F.lit(0)) == 0, 5).when(safe >= 0.8, 5).when(safe >= 0.5, 3).otherwise(0)
     presence = F.when(F.coalesce("sources", F.lit(0)) == 0, 0).otherwise(F.least(F.floor(F.col("tests") / F.col("sources") / target * 25.0), F.lit(25)))
-    wide = wide.select(
+    return wide.select(
         "repo_id", presence.alias("test_presence"), _share(F.col("named"), F.col("cases"), 25).alias("test_naming"),
         (yes("locked", 10) + yes("built", 7) + yes("has_ci_config", 5) + yes("linted", 3)).alias("build_reproducibility"), (yes("linted", 10) + few + sure).alias("type_safety_signals"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tests", "sources", "cases", "named", "params", "loose", "casts", "safe")],
     )
-    return _rows(wide, "verifiability", dict.fromkeys(wide.columns[1:], 25))
+
+
+VERIFIED = ("test_presence", "test_naming", "build_reproducibility", "type_safety_signals")
+
+
+def verifiability(files: DataFrame, paths: DataFrame, trees: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """Tests, their names, reproducible builds and type safety (25 points each)."""
+    return _rows(_verified(files, paths, trees, p), "verifiability", dict.fromkeys(VERIFIED, 25))
+
+
+def verifiability_issues(files: DataFrame, paths: DataFrame, trees: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """Rows (repo_id, severity, category, message): the scores of verifiability that are 0, and why."""
+    target = p.test_ratio if p.test_ratio > 0 else 0.5
+    # Messages.
+    why = {
+        "test_presence": F.when(F.col("sources") <= 0, "no Go source files found").otherwise(
+            F.format_string("%d test files for %d source files (ratio %.2f, target %.2f)", "tests", "sources", F.coalesce(F.try_divide("tests", "sources"), F.lit(0.0)), F.lit(float(target)))
+        ),
+        "test_naming": F.when(F.col("cases") == 0, "no test functions found").otherwise(F.format_string("%d/%d test functions follow Test<Func>_<Scenario> naming", "named", "cases")),
+        "build_reproducibility": F.lit("no build reproducibility signals found"),
+        "type_safety_signals": F.format_string("linter config, %d/%d safe type assertions, %d/%d clean params", "safe", "casts", F.col("params") - F.col("loose"), "params"),
+    }
+    each = [
+        F.when(F.col(n) == 0, F.struct(F.lit("error" if n == "test_presence" else "warning").alias("severity"), F.concat(F.lit(f"missing {n}: "), why[n]).alias("message"))) for n in VERIFIED
+    ]
+    rows = _verified(files, paths, trees, p).select("repo_id", F.explode(F.array_compact(F.array(*each))).alias("i"))
+    return rows.select("repo_id", "i.severity", F.lit("verifiability").alias("category"), "i.message")
+
+
 
 
 def context_quality(files: DataFrame, paths: DataFrame, trees: DataFrame) -> DataFrame:
@@ -244,6 +273,7 @@ def _issue(category: str, sub: str | None, severity: Column, message: Column, li
 
 def issues(files: DataFrame, p: Profile = Profile()) -> DataFrame:
     """Rows of ISSUES: sizes, complexity, parameters, names, package state. One scan a grain; each row emits an array."""
+    # The messages below.
     own = files.where("NOT coalesce(is_generated, false)")
     fns = limits(T.functions(own), p)
     name, at = F.col("fn.name"), F.col("fn.line_start")

@@ -5,7 +5,7 @@ import hashlib
 import duckdb
 import pytest
 
-from lodeworks.plans import catalogue, graphs, layouts, modules  # noqa: F401  they add their queries to the catalogue
+from lodeworks.plans import catalogue, graphs, layouts, modules, repositories  # noqa: F401  they add their queries to the catalogue
 
 SF = "/root/testdata/sf0.01"
 TABLES = "documents pages benchmark labels conversations region nation customer supplier part orders lineitem events".split()
