@@ -7,14 +7,19 @@ A query walks the lists from the end that its sign favours, scores each vector i
 of the best unseen component products cannot beat the k-th score found so far, here or in the first share. A block whose
 best components cannot beat it is left at once. Only what may be among the k best is shuffled, to be ranked once more.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part, neither as queries nor as
-candidates; shorter vectors count as padded with zeros; rows of equal id are rows of their own, and a query skips its own
+Scores are 64-bit. For vectors of d components those of under the root of 2^62 / d in absolute value give sums that fit,
+whatever the pair; a vector with a larger one, whose scores may not, takes no part.
+
+Defined cases: vectors that are null or hold a null, non-finite or too large component take no part, neither as queries
+nor as candidates; shorter vectors count as padded with zeros; rows of equal id are rows of their own, and a query skips its own
 row only; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives no rows; columns
 beside vec_id and x are ignored, and may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -116,6 +121,9 @@ def _top_k(vectors: DataFrame, k: int, is_query, block: int, chunk_bytes: int) -
     spark = vectors.sparkSession
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", F.isnotnull))
     vectors = stage(vectors.select("vec_id", "x").repartition(partitions(spark)), "vectors")
+    wide = max(vectors.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0], 1)
+    most = math.isqrt((1 << 62) // wide)
+    vectors = vectors.where(F.forall("x", lambda y: y.between(-most, most)))
     vectors = stage(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     dim, high, n, nq = vectors.agg(
         F.coalesce(F.max(F.size("x")), F.lit(0)), F.coalesce(F.max(F.expr("aggregate(x, 0L, (a, y) -> greatest(a, abs(y)))")), F.lit(0)),
