@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import keep, scratch, stage
 
 # The rules of the query, as (rule, verdict).
 RULES = (
@@ -112,15 +112,20 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, p: Reputatio
     """Judge each row of pages (page_id, url) by rules and by the outcomes (page_id, bad) of labelled pages.
 
     Returns page_id, host, path, rule, verdict, bad_bound. Reputations are staged and joined on host; both sides are
-    plain shuffles, so a host with a large share of the pages is split by Spark's skew join.
+    plain shuffles, so a host with a large share of the pages is split by Spark's skew join. Equal urls and rows are judged alike.
     """
+    with scratch(pages.sparkSession):
+        return _judged(pages, outcomes, rules, p)
+
+
+def _judged(pages: DataFrame, outcomes: DataFrame, rules, p: Reputation) -> DataFrame:
     host, path = url_parts(F.col("url"))
     at = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = outcomes.groupBy("page_id").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("s"))
     hosts = at.select("page_id", "host").join(seen, "page_id", "left").groupBy("host").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")
     )
-    rep = stage(reputations(hosts, p), "reputation")
+    rep = keep(reputations(hosts, p), "reputation")
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_bound") > F.lit(p.max_bad), "block").otherwise("allow")
     return at.join(rep, "host", "left").select(

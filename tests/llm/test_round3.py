@@ -357,3 +357,38 @@ def test_packing_does_not_depend_on_the_order_of_rows(spark, parts):
     assert got.select("sequence_id").distinct().count() <= 1028
     same = packing.pack(spark.createDataFrame([(i, "x " * 2500) for i in range(1000)], "doc_id long, text string"), block=256)
     assert same.select("sequence_id").distinct().count() == 1000
+
+
+# exact top-k
+
+
+def test_topk_with_huge_components(spark, tmp_path):
+    """Vectors with a finite component beyond the range of scores take no part; those at its edge are exact."""
+    import math
+
+    from lodeworks.llm import topk
+
+    edge = float(math.isqrt((1 << 62) // 3) // 256)
+    vectors = [(0, [1.0, 2.0, 3.0]), (1, [1e30, 0.0, 0.0]), (2, [0.0, -1e30, 0.0]), (3, [edge, edge, edge]), (4, [-edge, -edge, -edge]), (50, [edge, -edge, edge]), (100, [1e300, 1.0, 1.0]), (5, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = {i: [math.floor(256 * x) for x in v] for i, v in vectors if i in (0, 3, 4, 50)}
+    want = []
+    for q in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, topk.op8_exact_topk(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_url_filter_leaves_one_table(spark, tmp_path):
+    import os
+
+    from lodeworks.llm import common, url_filter
+
+    def left():
+        at = common.shared_dir(spark).removeprefix("file:")
+        return sorted(os.listdir(f"{at}/lodeworks/kept")) if os.path.isdir(f"{at}/lodeworks/kept") else []
+
+    before = left()
+    url_filter.op1_url_filter(spark, "/root/testdata/sf0.001").collect()
+    new = set(left()) - set(before)
+    assert len(new) == 1 and next(iter(new)).startswith("reputation")
