@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.operators import facts as T
+from lodeworks.operators import layout as L
 from lodeworks.operators import modules as M
+from lodeworks.operators import packages as G
 from lodeworks.operators import relational as R
 from lodeworks.operators import reports as P
 from lodeworks.operators import scorers as C
@@ -277,3 +279,113 @@ def build_commands(spark, d):
     files, paths, trees, _ = facts(spark, d)
     own = paths.join(files.select("repo_id").distinct(), "repo_id", "left_semi")
     return P.build_commands(own, trees.select("repo_id", F.col("has_agents").alias("has_go_mod")))
+
+
+MODULE = "example.com/m"
+# Each file of a domain folder imports another feature's folder, others that of the next one; where the nation's key is a
+# multiple of three only lower features are imported, so that no cycle can be.
+_TO = """SELECT f.*, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) AS a, CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END AS b,
+  concat(regexp_extract(path, '^([a-z]*/f)', 1), CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END, CASE WHEN k % 9 = 4 THEN '/adapters/http' ELSE '/domain' END) AS target FROM f"""
+
+
+def linked(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files with their imports, trees and members."""
+    t = {x: table(spark, d, x) for x in ("orders", "customer")}
+    files, _, trees, members = facts(spark, d)
+    f = spark.sql(_FILE, **t)
+    to = spark.sql(_TO.replace("FROM f", "FROM {f} f"), f=f).where("a <> b AND (n % 3 <> 0 OR b < a)").select("repo_id", "path", F.array(F.concat(F.lit(f"{MODULE}/"), "target")).alias("_i"))
+    files = files.join(to, ["repo_id", "path"], "left").withColumn("imports", F.coalesce("_i", F.array().cast("array<string>"))).drop("_i")
+    return R.durable(files), trees.withColumn("module_path", F.lit(MODULE)), members
+
+
+_GRAPH = f"""{_BASE.replace('WITH f', 'WITH RECURSIVE f', 1)}, x AS ({_TO}), e AS (SELECT DISTINCT repo_id, folder AS src, target AS dst FROM x WHERE NOT gen AND NOT test AND a <> b AND (n % 3 <> 0 OR b < a) AND folder <> target),
+  nd AS (SELECT repo_id, folder AS p, count_if(port IS NOT NULL) AS ifc, count_if(k % 3 = 0) AS st FROM x WHERE NOT gen AND NOT test GROUP BY 1, 2), every AS (SELECT * FROM nd UNION ALL SELECT DISTINCT repo_id, dst, 0, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.repo_id = e.repo_id AND nd.p = e.dst)),
+  node AS (SELECT every.*, (SELECT count(*) FROM e WHERE e.repo_id = every.repo_id AND dst = p) AS ca, (SELECT count(*) FROM e WHERE e.repo_id = every.repo_id AND src = p) AS ce FROM every),
+  walk AS (SELECT repo_id, src, dst FROM e UNION SELECT walk.repo_id, walk.src, e.dst FROM walk JOIN e ON walk.repo_id = e.repo_id AND walk.dst = e.src), loops AS (SELECT DISTINCT repo_id FROM walk WHERE src = dst),
+  md AS (SELECT repo_id, median(ce) AS m FROM node GROUP BY 1),
+  ds AS (SELECT repo_id, count(*) AS packages, coalesce(avg(CASE WHEN ifc + st > 0 THEN abs(ifc / (ifc + st)::DOUBLE + CASE WHEN ca + ce = 0 THEN 0 ELSE ce / (ca + ce)::DOUBLE END - 1) END), 0) AS mean, count_if(m >= 1 AND ce > 2 * m) AS far FROM node JOIN md USING (repo_id) GROUP BY 1),
+  gs AS (SELECT repo_id, packages, far, CASE WHEN packages <= 1 THEN 1 ELSE CASE WHEN repo_id IN (SELECT repo_id FROM loops) THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN mean > 0.4 THEN greatest(0, 1 - (mean - 0.4::DOUBLE) / 0.8::DOUBLE) ELSE 1 END * 0.36::DOUBLE + (1 - far / packages::DOUBLE) * 0.24::DOUBLE END AS score FROM ds)"""
+
+
+def _scored_graph(spark, d):
+    files, trees, members = linked(spark, d)
+    nodes, edges = G.package_graph(files, trees)
+    nodes, edges = R.durable(G.coupled(nodes, edges)), R.durable(edges)
+    node = lambda c: F.struct("repo_id", F.col(c).alias("package")).alias(c)
+    on = R.cycle_members(edges.select(node("src"), node("dst"))).select("node.*")
+    return files, members, nodes, edges, G.graph_score(nodes, on)
+
+
+@query("q90_graph_scores", f"{_GRAPH} SELECT repo_id, packages, round(score, 6) AS score FROM gs")
+def graph_scores(spark, d):
+    """Graphs with and without cycles, far from the main sequence or near it, and with outliers."""
+    return _scored_graph(spark, d)[4].withColumn("score", F.round("score", 6))
+
+
+_SIDES = f"""{_GRAPH}, lf AS (SELECT *, CASE WHEN path LIKE '%/adapters/%' THEN 'adapters' WHEN path LIKE '%/application/%' THEN 'application' WHEN path LIKE '%/domain/%' THEN 'domain' END AS layer, CASE WHEN NOT (a <> b AND (n % 3 <> 0 OR b < a)) THEN NULL WHEN k % 9 = 4 THEN 'adapters' ELSE 'domain' END AS tl FROM x WHERE path LIKE 'internal/%' AND NOT test),
+  lv AS (SELECT *, coalesce(layer IN ('domain', 'application') AND tl = 'adapters', false) AS bad FROM lf WHERE layer IS NOT NULL)"""
+
+
+@query(
+    "q91_direction_scores",
+    f"""{_SIDES}, lr AS (SELECT repo_id, greatest(0, 1 - count_if(bad) / count(*)::DOUBLE) AS rate FROM lv GROUP BY 1), g2 AS (SELECT * FROM gs WHERE packages > 1)
+        SELECT repo_id, round(CASE WHEN rate IS NULL AND score IS NULL THEN 1 WHEN rate IS NULL THEN score WHEN score IS NULL THEN rate ELSE (rate + score) / 2 END * 25)::BIGINT AS score FROM repos LEFT JOIN lr USING (repo_id) LEFT JOIN g2 USING (repo_id)""",
+)
+def direction_scores(spark, d):
+    """Both sides of the score; repositories without modules have the graph's alone."""
+    files, members, _, _, graph = _scored_graph(spark, d)
+    return L.dependency_direction(files, L.layer_violations(files, members)[1], graph)
+
+
+@query(
+    "q92_direction_issues",
+    f"""{_SIDES} SELECT repo_id, 'error' AS severity, path AS file, layer || ' layer imports {MODULE}/' || target || ' (dependency direction violation)' AS message, layer || '→adapters' AS pattern FROM lv WHERE bad
+        UNION ALL SELECT repo_id, 'warning', NULL, printf('package "%s" imports %d internal packages (median is %.0f)', '{MODULE}/' || p, ce, m), 'coupling-outlier' FROM node JOIN md USING (repo_id) WHERE m >= 1 AND ce > 2 * m""",
+)
+def direction_issues(spark, d):
+    """Issues of imports against the layers' direction, and of packages that import far more than most."""
+    files, members, nodes, edges, _ = _scored_graph(spark, d)
+    none = edges.where("false")
+    found = P.layout_issues(files, members, ()).where("sub_metric = 'dependency_direction'").unionByName(P.graph_issues(nodes, none))
+    return found.select("repo_id", "severity", "file", "message", "pattern")
+
+
+@query(
+    "q93_expected_layers",
+    f"""{_BASE}, dirs AS (SELECT repo_id, count(DISTINCT CASE WHEN path LIKE 'internal/%' THEN 1 WHEN path LIKE 'docs/%' THEN 2 WHEN path LIKE 'cmd/%' THEN 3 END) AS d FROM pathx GROUP BY 1), lay AS (SELECT repo_id, count(DISTINCT CASE WHEN path LIKE '%/domain/%' THEN 1 WHEN path LIKE '%/application/%' THEN 2 WHEN path LIKE '%/adapters/%' THEN 3 END) AS l FROM f WHERE path LIKE 'internal/%' GROUP BY 1)
+        SELECT repo_id, floor((d + coalesce(l, 0)) / 6::DOUBLE * 25)::BIGINT AS score FROM dirs LEFT JOIN lay USING (repo_id)""",
+)
+def expected_layers(spark, d):
+    files, paths, _, members = facts(spark, d)
+    own = paths.join(files.select("repo_id").distinct(), "repo_id", "left_semi")
+    return L.expected_layers(members, own, ("internal", "docs", "cmd"), ("domain", "application", "adapters"))
+
+
+@query(
+    "q94_forced_naming",
+    f"""{_BASE}, b AS (SELECT repo_id, path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.go$', '') AS b, (k % 4 = 0) AS s FROM f WHERE NOT test AND NOT gen), c AS (SELECT repo_id, count_if(s AND NOT path LIKE '%#_test.go' ESCAPE '#') / count(*)::DOUBLE AS share FROM b GROUP BY 1)
+        SELECT repo_id, path AS file, CASE WHEN share < 0.4 THEN 'warning' ELSE 'info' END AS severity, 'file "' || b || '.go" uses bare naming but project uses suffixed pattern' AS message FROM b JOIN c USING (repo_id) WHERE share >= 0.25 AND NOT s""",
+)
+def forced_naming(spark, d):
+    """Files without the suffix that a configuration asks for, in repositories where at least a quarter has it."""
+    return L.naming_issues(facts(spark, d)[0], ("_service",), "suffixed", 0.25)
+
+
+@query(
+    "q95_suffix_reuse",
+    "SELECT c_nationkey, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS reuse FROM (SELECT c_nationkey, c_custkey % 37 AS suffix, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1",
+)
+def suffix_reuse(spark, d):
+    """Share of customers, by nation, whose suffix another one has."""
+    rows = table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 37).cast("string").alias("suffix"))
+    return R.reuse_ratio(rows, ["c_nationkey"], "suffix")
+
+
+@query(
+    "q96_severity_table",
+    f"""{_ISS} SELECT repo_id, count_if(severity = 'error') AS error, count_if(severity = 'warning') AS warning, count_if(severity = 'info') AS info, count(*) AS total FROM iss GROUP BY 1""",
+)
+def severity_table(spark, d):
+    """Issues of each severity, in columns."""
+    wide = _issues(spark, d)[2].groupBy("repo_id").pivot("severity", list(P.SEVERITIES)).agg(F.count(F.lit(1))).na.fill(0)
+    return wide.withColumn("total", F.col("error") + F.col("warning") + F.col("info"))
