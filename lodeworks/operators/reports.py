@@ -7,6 +7,7 @@ repositories, not from loops over what each should have.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -263,3 +264,56 @@ def overall(cats: DataFrame) -> DataFrame:
     w = F.sum("weight")
     mean = F.round(F.sum(F.col("score") * F.col("weight")) / F.nullif(w, F.lit(0.0)))
     return cats.groupBy("repo_id").agg(F.coalesce(mean, F.lit(0.0)).cast("long").alias("overall")).withColumn("grade", S.grade(F.col("overall")))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a project's layout should be: suffixes of files, their convention, folders, layers, and documents (name, points, least size)."""
+
+    suffixes: tuple[str, ...] = ()
+    convention: str = "auto"
+    folders: tuple[str, ...] = ()
+    layers: tuple[str, ...] = ()
+    documents: tuple[tuple[str, int, int], ...] = ()
+
+
+def all_metrics(files, paths, trees, members, graph, documents, tokens=None, layout: Layout = Layout(), p: C.Profile = C.Profile()) -> DataFrame:
+    """Rows (repo_id, category, name, score, points): every sub-metric of every repository of files.
+
+    graph is packages.graph_score's, documents has (repo_id, name, size) of those that are there, and tokens is as
+    layout.duplication takes it; without it nothing is cloned.
+    """
+    repos = files.select("repo_id").distinct()
+    found = L.layer_violations(files, members)[1]
+    wanted = files.sparkSession.createDataFrame(list(layout.documents), "name string, points int, min_size int")  # a configuration list
+    agents = L.agent_files(documents.select("repo_id", "name", "size"), wanted).select("repo_id", "score") if layout.documents else repos.select("repo_id", F.lit(0).alias("score"))
+    clones = L.code_duplication(tokens) if tokens is not None else repos.select("repo_id", F.lit(20).alias("score"))
+    # category, name, points, scores, and the score of a repository that they lack
+    parts = (
+        ("code_health", "code_duplication", 20, clones, 20),
+        ("discoverability", "file_naming_conventions", 25, L.file_naming(files, layout.suffixes, layout.convention), 0),
+        ("discoverability", "predictable_structure", 25, L.predictable_structure(members, files, layout.suffixes, layout.convention), 25),
+        ("discoverability", "dependency_direction", 25, L.dependency_direction(repos, found, graph), 25),
+        ("structure", "expected_layers", 25, L.expected_layers(members, paths, layout.folders, layout.layers), 0),
+        ("structure", "expected_files", 25, L.expected_files(members, layout.suffixes), 0),
+        ("context_quality", "ai_context_files", sum(d[1] for d in layout.documents) or 30, agents, 0),
+    )
+    extra = [
+        repos.join(df.select("repo_id", "score"), "repo_id", "left").select(
+            "repo_id", F.lit(c).alias("category"), F.lit(n).alias("name"), F.coalesce("score", F.lit(none)).cast("long").alias("score"), F.lit(most).cast("long").alias("points")
+        )
+        for c, n, most, df, none in parts
+    ]
+    sized = members.groupBy("repo_id", F.col("module").alias("name")).agg(F.collect_set("layer").alias("layers"), F.count("*").alias("n_files"))  # a few layers a module
+    own = [C.code_health(files, p), C.naming_uniqueness(files, p), C.structure(files, sized), C.verifiability(files, paths, trees, p), C.context_quality(files, paths, trees), C.predictability(files, p)]
+    return reduce(DataFrame.unionByName, [*own, *extra])
+
+
+def score_repositories(files, paths, trees, members, nodes, edges, documents, tokens=None, layout: Layout = Layout(), p: C.Profile = C.Profile()):
+    """(metrics, categories, overall, issues) of all repositories, from facts, detected modules and a coupled package graph."""
+    node = lambda c: F.struct("repo_id", F.col(c).alias("package")).alias(c)
+    graph = P.graph_score(nodes, R.cycle_members(edges.select(node("src"), node("dst"))).select("node.*"))
+    metrics = R.durable(all_metrics(files, paths, trees, members, graph, documents, tokens, layout, p))
+    found = R.durable(all_issues(files, paths, trees, members, layout.suffixes, nodes, edges, tokens, p))
+    cats = C.category_scores(metrics, found, files)
+    return metrics, cats, C.overall(cats), found

@@ -319,7 +319,7 @@ def category_scores(metrics: DataFrame, found: DataFrame, files: DataFrame) -> D
     debt = found.groupBy("repo_id", "category").agg(F.sum(S.severity_weight(F.col("severity"))).alias("w"), F.count_if(F.col("severity") == "error").alias("e"))
     total = metrics.groupBy("repo_id", "category").agg(F.sum("score").alias("sum"))
     out = total.join(n, ["repo_id", "category"], "left").join(debt, ["repo_id", "category"], "left")
-    loss = F.coalesce(S.debt_penalty(F.col("w"), F.col("n"), F.col("e")), F.lit(0))
+    loss = F.when(F.col("n").isNotNull(), F.coalesce(S.debt_penalty(F.col("w"), F.col("n"), F.col("e")), F.lit(0))).otherwise(0)
     return out.select("repo_id", "category", F.greatest(F.lit(0), F.col("sum") - loss).alias("score"))
 
 

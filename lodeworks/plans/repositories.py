@@ -14,7 +14,7 @@ from lodeworks.operators import packages as G
 from lodeworks.operators import relational as R
 from lodeworks.operators import reports as P
 from lodeworks.operators import scorers as C
-from lodeworks.plans.catalogue import query, table
+from lodeworks.plans.catalogue import SQL, query, table
 
 # Facts of files and functions in words that Spark and DuckDB share; counts stand for lists.
 _FILE = """SELECT concat('r', c_nationkey) AS repo_id, c_nationkey AS n, o_orderkey AS k, o_orderkey % 5 = 0 AND c_nationkey % 6 <> 1 AS test,
@@ -389,3 +389,38 @@ def severity_table(spark, d):
     """Issues of each severity, in columns."""
     wide = _issues(spark, d)[2].groupBy("repo_id").pivot("severity", list(P.SEVERITIES)).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", F.col("error") + F.col("warning") + F.col("info"))
+
+
+_LAYOUT = P.Layout(("_service", "_handler"), "auto", ("internal", "docs", "cmd"), ("domain", "application", "adapters"), (("CLAUDE.md", 10, 5), ("AGENTS.md", 10, 0), (".cursorrules", 5, 400)))
+
+
+def _scored(spark, d):
+    files, members, nodes, edges, _ = _scored_graph(spark, d)
+    _, paths, trees, _ = facts(spark, d)
+    own = paths.join(files.select("repo_id").distinct(), "repo_id", "left_semi")
+    there = (("has_claude", "CLAUDE.md"), ("has_agents", "AGENTS.md"), (".cursorrules", ".cursorrules"))
+    docs = F.array_compact(F.array(*[F.when(F.col("has_cursor" if c == ".cursorrules" else c), F.struct(F.lit(n).alias("name"), F.length("agent_doc").alias("size"))) for c, n in there]))
+    documents = trees.select("repo_id", F.explode(docs).alias("x")).select("repo_id", "x.*")
+    return P.score_repositories(files, own, trees, members, nodes, edges, documents, None, _LAYOUT)
+
+
+_FILES_SCORE = f"""{_BASE}, {_MEMB}, r AS (SELECT repo_id, module, avg(CASE WHEN path LIKE '%#_service.go' ESCAPE '#' OR path LIKE '%#_handler.go' ESCAPE '#' OR path LIKE '%#_test.go' ESCAPE '#' THEN 1 ELSE 0 END) AS s FROM mem GROUP BY 1, 2)
+  SELECT repo_id, floor(round(avg(s), 9) * 25)::BIGINT AS score FROM r GROUP BY 1"""
+_AGENTS = f"""{_BASE} SELECT repo_id, CASE WHEN has_claude THEN 5 + CASE WHEN length(agent_doc) >= 5 THEN 5 ELSE 0 END ELSE 0 END + CASE WHEN has_agents THEN 10 ELSE 0 END + CASE WHEN has_cursor THEN 2 + CASE WHEN length(agent_doc) >= 400 THEN 3 ELSE 0 END ELSE 0 END AS score FROM t JOIN repos USING (repo_id)"""
+
+
+@query(
+    "q97_category_scores",
+    "SELECT repo_id, category, sum(score)::BIGINT AS score FROM ("
+    + " UNION ALL ".join(f"SELECT repo_id, category, score FROM ({SQL[q]})" for q in ("q76_verifiability", "q77_context_quality", "q78_predictability", "q79_structure"))
+    + f" UNION ALL SELECT repo_id, 'structure', score FROM ({SQL['q93_expected_layers']}) UNION ALL SELECT repo_id, 'structure', score FROM ({_FILES_SCORE}) UNION ALL SELECT repo_id, 'context_quality', score FROM ({_AGENTS})) GROUP BY 1, 2",
+)
+def category_scores(spark, d):
+    """The categories that no debt of issues lowers, from the plan that scores all."""
+    return _scored(spark, d)[1].where("category NOT IN ('code_health', 'discoverability')")
+
+
+@query("q98_sub_metrics_scored", f"{_BASE} SELECT repo_id, count(*) AS sub_metrics, sum(points)::BIGINT AS points FROM repos, (SELECT unnest([20, 20, 20, 20, 20, 25, 25, 25, 25, 25, 25, 25, 25, 25, 25, 25, 25, 25, 25, 20, 25, 25, 25, 25, 25]) AS points) GROUP BY 1")
+def sub_metrics_scored(spark, d):
+    """Every repository has each of the 25 sub-metrics, with its points."""
+    return _scored(spark, d)[0].groupBy("repo_id").agg(F.count_distinct("name").alias("sub_metrics"), F.sum("points").alias("points"))

@@ -85,3 +85,25 @@ def load_snapshot(spark: SparkSession, path: str, version: str, schema: str) ->
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={version}")
     there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
     return spark.read.schema(schema).parquet(at.toString()) if there else spark.createDataFrame([], schema)
+
+
+def check_documents(missing: DataFrame, issues: DataFrame, report: DataFrame) -> DataFrame:
+    """Rows (repo_id, module, json) of blueprints.check: score, missing things and issues. What a module lacks is bounded by its blueprint."""
+    key = ["repo_id", "module"]
+    lack = missing.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("kind", "name", "expected", "file"))).alias("missing"))
+    told = issues.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("severity", "category", "file", "message", "pattern"))).alias("issues"))
+    rows = report.join(lack, key, "left").join(told, key, "left")
+    none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
+    return rows.select(*key, F.to_json(F.struct("module", F.col("golden").alias("golden_module"), "score", none("missing"), none("issues"))).alias("json"))
+
+
+def graph_documents(nodes: DataFrame, report: DataFrame, cycles: DataFrame) -> DataFrame:
+    """JSON lines (repo_id, package, json): one a package of packages.graph_report, with its measures, and one a cycle, whose package is null.
+
+    A line a package, and not one document a repository, so that a large repository is no single row.
+    """
+    key = ["repo_id", "package"]
+    rows = report.join(nodes.select(*key, "instability", "abstractness", "distance"), key)
+    packages = rows.select(*key, F.to_json(F.struct("package", "role", "ca", "ce", "instability", "abstractness", "distance", "n_violations")).alias("json"))
+    rings = cycles.select("repo_id", F.lit(None).cast("string").alias("package"), F.to_json(F.struct("cycle")).alias("json"))
+    return packages.unionByName(rings)

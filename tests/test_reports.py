@@ -1,11 +1,14 @@
 """Modules, blueprints, checks and reports on facts written by hand."""
 
+import json
+
 import pytest
 
 from lodeworks.operators import blueprints as B
 from lodeworks.operators import facts as T
 from lodeworks.operators import modules as M
 from lodeworks.operators import reports as P
+from lodeworks.sources import trees
 
 FACTS = "repo_id string, path string, package string, structs array<string>, interfaces array<string>, interface_defs array<struct<name:string,methods:array<string>>>, functions array<struct<name:string,receiver:string>>"
 
@@ -81,6 +84,9 @@ def test_blueprint_and_checks(spark):
         ("item", "warning", "completeness", "internal/item/application/item_service.go", "missing interface ItemStore (expected from blueprint pattern {Entity}Store)", None),
         ("item", "warning", "pattern", None, "no interfaces defined (expected port interfaces)", "port_interfaces"),
     ], key=str)
+    docs = {r["module"]: json.loads(r["json"]) for r in trees.check_documents(missing, issues, report).collect()}
+    assert docs["pay"]["score"] == 75 and docs["pay"]["golden_module"] == "tax" and len(docs["pay"]["missing"]) == 4 and [i["severity"] for i in docs["pay"]["issues"]] == ["error", "warning"]
+    assert docs["bare"]["score"] == 0 and len(docs["item"]["issues"]) == 2
     assert rows(B.examples(wanted, "handler"), "file") == [("internal/tax/adapters/http/tax_rule_handler.go",)]
 
 
@@ -144,3 +150,20 @@ def test_letters_and_configuration(spark):
     assert rows(cats, "category", "score", "weight") == [("structure", 80, 0.3), ("verifiability", 25, 0.15)]
     assert rows(left, "message") == [("stays",)] and rows(kept.where("skipped"), "name", "score") == [("b", 0)]
     assert rows(reports.overall(cats), "overall", "grade") == [(62, "C")]
+
+
+def test_graph_documents(spark):
+    from lodeworks.operators import packages as G
+
+    kind = "repo_id string, path string, is_generated boolean, imports array<string>, interfaces array<string>, structs array<string>, functions array<struct<name:string,receiver:string,params:array<struct<name:string,type:string>>>>"
+    data = [("r", f"{a}/x.go", False, [f"m/{b}"], [], ["T"], []) for a, b in (("a", "b"), ("b", "a"), ("c", "a"))]
+    files, tree = spark.createDataFrame(data, kind), spark.createDataFrame([("r", "m")], "repo_id string, module_path string")
+    nodes, edges = G.package_graph(files, tree)
+    nodes = G.coupled(nodes, edges)
+    report = G.graph_report(nodes, G.package_roles(nodes), spark.createDataFrame([], "repo_id string, package string, message string"))
+    got = [(r["package"], json.loads(r["json"])) for r in trees.graph_documents(nodes, report, G.import_cycles(edges)).collect()]
+    assert {p for p, _ in got} == {"m/a", "m/b", "m/c", None} and [d["cycle"] for p, d in got if p is None] == [["m/a", "m/b"]]
+    one = dict(got)["m/a"]
+    assert (one["ca"], one["ce"]) == (2, 1) and abs(one["instability"] - 1 / 3) < 1e-9
+    issues = P.graph_issues(nodes, edges)
+    assert rows(issues, "message") == [("import cycle: m/a → m/b",)]
