@@ -57,6 +57,7 @@ def nothing(spark, small, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("nothing"))
     for t in ("documents", "pages", "labels", "embeddings"):
         spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 

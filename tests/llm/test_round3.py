@@ -392,3 +392,55 @@ def test_url_filter_leaves_one_table(spark, tmp_path):
     url_filter.op1_url_filter(spark, "/root/testdata/sf0.001").collect()
     new = set(left()) - set(before)
     assert len(new) == 1 and next(iter(new)).startswith("reputation")
+
+
+# language ID: decoding again in plain Python
+
+
+def test_language_decoding_in_plain_python(spark):
+    import math
+
+    from lodeworks.llm import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs.where(~language.held_out()))
+    rows = [r for r in docs.select("doc_id", "text").collect() if r["text"]][:80]
+    log2, k, n_langs = language.Settings().buckets_log2, model["weights"].shape[1], len(model["langs"])
+    got = {r["doc_id"]: r for r in language.identify(docs.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    for row in rows:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in row["text"].encode())
+        grams = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> (32 - log2) for i in range(len(raw) - 2)]
+        sums = [math.fsum(float(model["weights"][g, j]) for g in grams) for j in range(k)]
+        z = [2 * sums[j] / max(len(grams), 1) / model["scale"][j] for j in range(k)]
+        loss = [sum(math.log1p(math.exp(-z[j] * model["code"][c][j])) * model["trust"][j] for j in range(k)) for c in range(n_langs)]
+        low = min(loss)
+        assert got[row["doc_id"]]["lang_pred"] == model["langs"][loss.index(low)]
+        assert abs(got[row["doc_id"]]["score"] - 1 / sum(math.exp(-4 * (x - low)) for x in loss)) < 1e-3
+
+
+# the pipeline, whole
+
+
+def test_pipeline_on_empty_and_edge_tables(spark, tmp_path):
+    """Null, empty, very long and repeated rows, and columns with the names that stages use inside, through all stages."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, b long, place long"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    data = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows]
+    longest = " ".join(f"{w}{i}" for i, w in enumerate((rows[0]["text"] + " ").split() * 400))
+    data += [(9001, None, None, None), (9002, "", "en", "s"), (9003, "1 2 3", None, "s"), (9004, longest, "en", "s"), (9004, longest, "en", "s"), (None, rows[1]["text"] + " and a tail of its own", "en", "s")]
+    data += [(r["doc_id"] + 20000, r["text"], r["lang"], r["source"]) for r in rows[:50]]
+    spark.createDataFrame([(*r, 7, "x", 1, 2) for r in data], kind).repartition(4).write.parquet(f"{tmp_path}/edge/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()
+    ids = {r["doc_id"] for r in got}
+    assert ids and not ids & {9001, 9002, 9003} and not {i for i in ids if i and i > 20000}  # of copies the first stays
+    assert sum(r["piece"] == 0 for r in got if r["doc_id"] == 9004) <= 1
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 4096
