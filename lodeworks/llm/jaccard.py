@@ -79,12 +79,14 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            n, fp, prefix = [], [], []
-            for u, h in _sets(b.column(1)):
-                n.append(len(u))
-                fp.append(h)
-                prefix.append(u[: prefix_length(len(u))] if len(u) else u)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), _long_lists(prefix)], names=["doc_id", "n", "fp", "prefix"])
+            for i in range(0, len(b), 512):
+                s = b.slice(i, 512)
+                n, fp, prefix = [], [], []
+                for u, h in _sets(s.column(1)):
+                    n.append(len(u))
+                    fp.append(h)
+                    prefix.append(u[: prefix_length(len(u))].copy() if len(u) else u)  # a view would hold the whole set
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), _long_lists(prefix)], names=["doc_id", "n", "fp", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, prefix array<long>")
 
@@ -300,9 +302,17 @@ def links(docs: DataFrame, sums: DataFrame, chunk: int = CHUNK_SETS, coarse: int
         return keep(_links(docs, sums, chunk, coarse), "links")
 
 
+def distinct_sets(sums: DataFrame) -> DataFrame:
+    """Rows fp, doc_id, n, prefix: each set of sums that is not empty, once. Only sets that several rows have are shuffled."""
+    some = sums.where("n > 0").select("fp", "doc_id", "n", "prefix")
+    again = stage(some.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "again")
+    again = broadcast_if_small(again, again.count(), 8)
+    once = some.join(again, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s"))
+    return some.join(again, "fp", "left_anti").union(once.select("fp", "s.doc_id", "s.n", "s.prefix"))
+
+
 def _links(docs: DataFrame, sums: DataFrame, chunk: int, coarse: int) -> DataFrame:
-    sets = sums.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s"))
-    sets = stage(sets.select("fp", "s.doc_id", "s.n", "s.prefix"), "sets")
+    sets = stage(distinct_sets(sums), "sets")
     rows = sets.select("fp", "n", F.explode("prefix").alias("t"))
     often = stage(rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "often")
     # both sides grow with the corpus, so it is a shuffle join at every size

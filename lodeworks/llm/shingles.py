@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once. A longer text is handled in pieces cut at white space.
-BLOCK = 1 << 20
+#: Bytes handled at once; the arrays on the way take some 50 bytes a byte. A longer text is handled in pieces cut at white space.
+BLOCK = 1 << 18
 WIDTH = 5
 
 
