@@ -4,7 +4,9 @@
 2. In the order of hashes, two sets with Jaccard >= 0.8 share at least l shingles among their first
    n - ceil(0.8 n) + l. Only those prefixes are shuffled. Shingles in two or more prefixes are kept with their
    frequency; a set with too few of them is alone. Of the others only the rarest, in a global order by frequency, are
-   needed, and sets that share one of these lie in one block (connected components).
+   needed. Similar sets are of similar size: a set lies in two windows of sizes, any two similar ones in one in common,
+   and sets of a window that share such a shingle lie in one block (connected components). Short and long sets that share
+   passages do not make a block that way. A block whose sets all lie in the next window's as well is left to that.
 3. Blocks get their sets in full. Each is joined in a task by a radix trie of the sets, ordered by frequency: a probe
    walks the trie, adds up the overlap once for all sets that share a path, and leaves a subtree when what remains of
    the probe or of the subtree cannot reach the overlap needed, or when all of it is already in the probe's class.
@@ -12,7 +14,8 @@
    block, which tie the classes of its chunks together. What then lies outside the block's largest class, mostly little,
    meets all chunks; pairs inside a class are left out, as they change nothing. Where much is left, the block's sets share
    passages without being similar; such a block is cut anew into as few chunks as fit a task (``COARSE`` shingles), since
-   the trie's bounds leave most of their pairs.
+   the trie's bounds leave most of their pairs. Chunks meet ``TURNS`` chunks of the rest at a time, so that the copies on
+   disk at once grow with the sets, and not with their square.
 4. Links make classes; a class is named by its smallest document.
 
 No pair is left out: the prefix lengths, the frequency order and the trie bounds are exact filters, up to collisions of
@@ -26,11 +29,13 @@ its set is one row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, keep, scratch, stage
@@ -42,6 +47,10 @@ CHUNK_SETS, CHUNK_SHINGLES = 64, 400_000
 COARSE = 2_000_000
 #: Sets of a large block that all its chunks get in a round, and rounds before all that is left meets all chunks.
 PIVOTS, ROUNDS = 4, 2
+#: Chunks of what is left of a large block that all its chunks meet at a time.
+TURNS = 2
+#: Bands of sizes are powers of it: more than 1.25, the most that the sizes of similar sets differ by, so that rounding does not matter.
+BAND = 1.26
 
 
 def least(n):
@@ -288,18 +297,25 @@ def _large_blocks(rows: DataFrame, n_blocks: int, chunk: int, coarse: int) -> Da
         if pool.isEmpty():
             break
     left = left.select("block", F.when(F.col("h") > 1, F.col("wide")).alias("w"), F.when(F.col("h") > 1, F.col("h_wide")).otherwise(1).alias("h"))
+    turns = left.agg(F.max("h")).first()[0] or 0
     cut = rows.join(broadcast_if_small(left, n_blocks, 24), "block")
     cut = cut.withColumn("c", F.when(F.col("w").isNull(), F.col("c")).otherwise(F.pmod(F.xxhash64("fp"), "w").cast("int"))).withColumn("g", F.coalesce("w", "g"))
-    every = cut.select("fp", "block", "all", "c", _numbers("h").alias("o"))
-    rest = cut.join(out.select("fp", "block"), ["fp", "block"], "left_semi")
-    rest = rest.select("fp", "block", "all", _numbers("g").alias("c"), F.pmod(F.xxhash64("fp", F.lit(-1)), "h").cast("int").alias("o"))
-    return links.union(_linked(every.union(rest), ["block", "c", "o"], known))
+    rest = cut.join(out.select("fp", "block"), ["fp", "block"], "left_semi").withColumn("o", F.pmod(F.xxhash64("fp", F.lit(-1)), "h").cast("int"))
+    for at in range(0, turns, TURNS):
+        now = F.sequence(F.lit(at), F.least(F.col("h"), F.lit(at + TURNS)) - 1)
+        every = cut.where(F.col("h") > at).select("fp", "block", "all", "c", F.explode(now).alias("o"))
+        some = rest.where(F.col("o").between(at, at + TURNS - 1)).select("fp", "block", "all", _numbers("g").alias("c"), "o")
+        links = links.union(_linked(every.union(some), ["block", "c", "o"], known))
+    return links
+
 
+def links(docs: DataFrame, sets: DataFrame, rare: DataFrame, chunk: int = CHUNK_SETS, coarse: int = COARSE) -> DataFrame:
+    """Rows (fp, root) for the sets (fp, doc_id, n) that are linked to another: one root a class of sets. Keeps them in the caller's scope.
 
-def links(docs: DataFrame, sums: DataFrame, chunk: int = CHUNK_SETS, coarse: int = COARSE) -> DataFrame:
-    """Rows (fp, root) for the sets that are linked to another: one root a class of sets. Keeps them in the caller's scope."""
+    rare has rows (fp, t): what a set's partners share at least one of.
+    """
     with scratch(docs.sparkSession):
-        return keep(_links(docs, sums, chunk, coarse), "links")
+        return keep(_links(docs, sets, rare, chunk, coarse), "links")
 
 
 def distinct_sets(sums: DataFrame) -> DataFrame:
@@ -311,20 +327,31 @@ def distinct_sets(sums: DataFrame) -> DataFrame:
     return some.join(again, "fp", "left_anti").union(once.select("fp", "s.doc_id", "s.n", "s.prefix"))
 
 
-def _links(docs: DataFrame, sums: DataFrame, chunk: int, coarse: int) -> DataFrame:
-    sets = stage(distinct_sets(sums), "sets")
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """Rows (fp, t) of sets (fp, n, prefix): of the shingles of a prefix that others have, the rarest, one of which any similar set has."""
     rows = sets.select("fp", "n", F.explode("prefix").alias("t"))
-    often = stage(rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    # both sides grow with the corpus, so it is a shuffle join at every size
-    lists = rows.join(often.hint("merge"), "t").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    often = rows.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1")
+    lists = often.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     low = (1 + F.expr("((4 * n + 4) div 5) div 20")).cast("int")  # shared(least(n))
     lists = lists.where(F.size("ts") >= low).select("fp", F.expr("slice(ts, 1, size(ts) - (1 + CAST(((4 * n + 4) div 5) div 20 AS INT)) + 1)").alias("ts"))
-    active = stage(lists.select("fp", F.explode("ts.t").alias("t")), "active")
-    hubs = stage(active.groupBy("t").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub < far").select("t", "hub"), "hubs")
-    stars = active.join(hubs, "t").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    blocks = components(stars)
-    chosen = blocks.join(sets.select("fp", "doc_id", "n"), blocks.node == F.col("fp")).select("fp", "doc_id", "n", F.col("root").alias("block"))
-    chosen = stage(chosen, "chosen")
+    return lists.select("fp", F.explode("ts.t").alias("t"))
+
+
+def _windows(sets: DataFrame) -> DataFrame:
+    """sets (fp, n, ...) twice, with its band of sizes, each window that the band is in, and node, a hash of set and window."""
+    sets = sets.withColumn("band", F.floor(F.log("n") / F.lit(math.log(BAND))).cast("int"))
+    return sets.withColumn("window", F.explode(F.array(F.col("band") - 1, F.col("band")))).withColumn("node", F.xxhash64("fp", "window"))
+
+
+def _links(docs: DataFrame, sets: DataFrame, rare: DataFrame, chunk: int, coarse: int) -> DataFrame:
+    sized = stage(rare.join(sets.select("fp", "n"), "fp"), "sized")
+    active = _windows(sized).select("node", "window", "t")
+    hubs = stage(active.groupBy("window", "t").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("window", "t", "hub"), "hubs")
+    stars = active.join(hubs, ["window", "t"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    found = _windows(sets).join(components(stars), "node").withColumnRenamed("root", "block")
+    found = stage(found.select("fp", "doc_id", "n", "block", (F.col("band") - F.col("window")).alias("up")), "found")
+    # a block without a set of its window's lower band is in one of the next window
+    chosen = stage(found.join(found.where("up = 0").select("block").distinct(), "block", "left_semi").select("fp", "doc_id", "n", "block"), "chosen")
     n = chosen.count()
     if n == 0:
         return chosen.select("fp", F.col("fp").alias("root"))
@@ -332,7 +359,7 @@ def _links(docs: DataFrame, sums: DataFrame, chunk: int, coarse: int) -> DataFra
     texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, n, 24), F.col("doc_id").eqNullSafe(F.col("_d")))
     full = stage(full_sets(texts), "full")
     if full.count() > n:  # rows of equal doc_id and set
-        full = stage(full.groupBy("fp").agg(F.first("block").alias("block"), F.first("all").alias("all")), "full")
+        full = stage(full.groupBy("fp", "block").agg(F.first("all").alias("all")), "full")
     large = chosen.groupBy("block").agg(_parts(F.count("*"), F.sum("n"), chunk).alias("g")).where("g > 1")
     large = stage(large, "large")
     n_blocks = large.count()
@@ -346,14 +373,17 @@ def _links(docs: DataFrame, sums: DataFrame, chunk: int, coarse: int) -> DataFra
 def classes(docs: DataFrame, chunk: int = CHUNK_SETS, coarse: int = COARSE) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, fp, root for docs (doc_id, text); root is one hash a class."""
     with scratch(docs.sparkSession):
-        sums = stage(summaries(docs), "sums")
-        found = links(docs, sums, chunk, coarse)
-        named = sums.select("doc_id", "n", "fp")
-        named = named.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
+        with scratch(docs.sparkSession):  # prefixes go once they are read
+            with scratch(docs.sparkSession):
+                sums = stage(summaries(docs), "sums")
+                rows, sets = keep(sums.select("doc_id", "n", "fp"), "rows"), keep(distinct_sets(sums), "sets")
+            rare, sets, rows = keep(rare_shingles(sets), "rare"), keep(sets.drop("prefix"), "sets"), keep(rows, "rows")
+        found = links(docs, sets, rare, chunk, coarse)
+        named = rows.where("n > 0").join(found, "fp", "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("root"))
         named = stage(named, "named")
         first = stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
         out = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
-        alone = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.col("fp").alias("root"))
+        alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.col("fp").alias("root"))
         return keep(out.union(alone), "classes")
 
 
