@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +48,121 @@ def entropy(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return c.withColumn("n", n).groupBy(*keys).agg(F.when(F.max("n") <= 1, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), h), 6)).alias("entropy"))
 
 
+#: Keys and elements of a block of sets, and elements a task takes at once as columns of a matrix.
+BLOCK_KEYS, BLOCK_ELEMENTS, COLUMNS = 4096, 4_000_000, 4096
+#: Common elements of pairs, for each row of the sets, up to which they are joined and counted.
+JOINED = 64
+
+
 def jaccard_pairs(sets: DataFrame, key: str, element: str, least: float) -> DataFrame:
-    """Pairs a < b of keys whose sets have Jaccard >= least: an equi-join on elements, counted, not a pairwise loop."""
-    sizes = sets.groupBy(key).agg(F.count("*").alias("n"))
-    rows = sets.join(sizes, key)
-    a = rows.select(F.col(key).alias("a"), element, F.col("n").alias("na"))
-    b = rows.select(F.col(key).alias("b"), element, F.col("n").alias("nb"))
-    near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    pairs = a.join(b, element).where((F.col("a") < F.col("b")) & near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    """Pairs a < b of keys whose sets have Jaccard >= least; sets has distinct rows.
+
+    Where few keys share an element, an equi-join on elements, counted. Else the common elements of pairs are far more than
+    the sets, and would all be shuffled: blocks of sets meet in tasks instead, and pairs are written out as they are found.
+    """
+    sets = durable(sets.select(key, element))
+    known = sets.where(F.col(element).isNotNull() & F.col(key).isNotNull())
+    c = F.col("_c").cast("double")
+    rows, joined = known.groupBy(element).agg(F.count("*").alias("_c")).agg(F.sum("_c"), F.sum(c * (c - 1) / 2)).first()
+    pairs = _joined_pairs(sets, key, element) if (joined or 0) <= JOINED * (rows or 0) else _block_pairs(sets, key, element, least, rows)
+    near = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")
     union = F.col("na") + F.col("nb") - F.col("shared")
-    return pairs.where(F.col("shared") >= F.lit(least) * union).select(
+    return pairs.where(near & (F.col("shared") >= F.lit(least) * union)).select(
         "a", "b", "shared", F.round(F.col("shared") / union, 6).alias("jaccard"), F.round(F.least("na", "nb") / F.greatest("na", "nb"), 6).alias("size_similarity")
     )
 
 
+def _joined_pairs(sets: DataFrame, key: str, element: str) -> DataFrame:
+    rows = sets.join(sets.groupBy(key).agg(F.count("*").alias("n")), key)
+    a = rows.select(F.col(key).alias("a"), element, F.col("n").alias("na"))
+    b = rows.select(F.col(key).alias("b"), element, F.col("n").alias("nb"))
+    return a.join(b, element).where(F.col("a") < F.col("b")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+
+
+def _block_pairs(sets: DataFrame, key: str, element: str, least: float, rows: int) -> DataFrame:
+    """Rows (a, b, na, nb, shared) of all pairs that share an element and may have Jaccard >= least."""
+    names = durable(sets.select(element).where(F.col(element).isNotNull()).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    each = sets.where(F.col(key).isNotNull()).join(names, element, "left").groupBy(key).agg(F.count("*").alias("_n"), F.collect_list("_id").alias("_ids"))
+    each = durable(each)
+    g = max(1, -(-each.count() // BLOCK_KEYS), -(-rows // BLOCK_ELEMENTS))
+    kind = each.schema[key].dataType.simpleString()
+    blocks = each.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(g)).cast("int")).groupBy("_g").applyInPandas(_packed, f"_g int, _keys array<{kind}>, _n array<long>, _len array<long>, _names binary, _ids binary")
+    blocks = durable(blocks)
+    # every pair of partitions is a task that reads both: no block is copied for another
+    side = lambda x: blocks.select(*[F.col(c).alias(f"{c}{x}") for c in blocks.columns]).repartition(min(g, 64))
+    met = side(1).join(side(2).hint("shuffle_replicate_nl"), F.col("_g1") <= F.col("_g2"))
+    found = met.mapInArrow(lambda batches: _meet(batches, least), f"x {kind}, y {kind}, nx long, ny long, shared long")
+    swap = lambda p, q: F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q))
+    return found.select(swap("x", "y").alias("a"), swap("y", "x").alias("b"), swap("nx", "ny").alias("na"), swap("ny", "nx").alias("nb"), "shared")
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of sets as one row: keys, sizes, ids of elements, and each set's places among these, as a table of bits if that is smaller."""
+    ids = [np.asarray(x, np.int64) for x in pdf["_ids"]]
+    key = next(c for c in pdf.columns if c not in ("_n", "_ids", "_g"))
+    names, place = np.unique(np.concatenate(ids), return_inverse=True)
+    lens = [len(x) for x in ids]
+    if len(ids) * len(names) < 32 * len(place):
+        bits = np.zeros((len(ids), len(names)), bool)
+        bits[np.repeat(np.arange(len(ids)), lens), place] = True
+        body = np.packbits(bits).tobytes()
+    else:
+        body = place.astype(np.int32).tobytes()
+    return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_keys": [pdf[key].tolist()], "_n": [pdf["_n"].tolist()], "_len": [lens], "_names": [names.tobytes()], "_ids": [body]})
+
+
+def _unpacked(one: pa.RecordBatch, x: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """keys, sizes, ids of elements, and for each element of each set the set's row and the element's place among the ids."""
+    keys, sizes, lens = (one.column(f"{c}{x}").flatten() for c in ("_keys", "_n", "_len"))
+    names, lens = np.frombuffer(one.column(f"_names{x}")[0].as_py(), np.int64), lens.to_numpy()
+    body, n = one.column(f"_ids{x}")[0].as_py(), int(lens.sum())
+    if len(lens) * len(names) < 32 * n:
+        row, place = np.nonzero(np.unpackbits(np.frombuffer(body, np.uint8), count=len(lens) * len(names)).reshape(len(lens), len(names)))
+    else:
+        row, place = np.repeat(np.arange(len(lens)), lens), np.frombuffer(body, np.int32)
+    return keys, sizes.to_numpy(), names, row, place
+
+
+def _meet(batches, least: float):
+    """Pairs of the two blocks of each row: sets as rows of 0 and 1, multiplied ``COLUMNS`` elements and 256 sets at a time."""
+    for batch in batches:
+        for r in range(len(batch)):
+            one = batch.slice(r, 1)
+            same = one.column("_g1")[0].as_py() == one.column("_g2")[0].as_py()
+            keys, sizes, names, rows, places = zip(*(_unpacked(one, x) for x in "12"))
+            common = np.intersect1d(*names, assume_unique=True)
+            at = []
+            for x in (0, 1):  # places among the common elements, in their order, and the rows that have them
+                to = np.full(len(names[x]), -1)
+                to[np.searchsorted(names[x], common)] = np.arange(len(common))
+                has = to[places[x]] >= 0
+                row, place = rows[x][has], to[places[x]][has]
+                by = np.argsort(place, kind="stable")
+                at.append((row[by], place[by]))
+            for lo in range(0, len(sizes[0]), 256):
+                hi = min(lo + 256, len(sizes[0]))
+                shared = np.zeros((hi - lo, len(sizes[1])), np.float32)  # exact up to 2^24 elements
+                inside = (at[0][0] >= lo) & (at[0][0] < hi)
+                left = (at[0][0][inside] - lo, at[0][1][inside])
+                for c in range(0, len(common), COLUMNS):
+                    here = []
+                    for (row, place), n in ((left, hi - lo), (at[1], len(sizes[1]))):
+                        f, t = np.searchsorted(place, [c, c + COLUMNS])
+                        m = np.zeros((n, min(COLUMNS, len(common) - c)), np.float32)
+                        m[row[f:t], place[f:t] - c] = 1
+                        here.append(m)
+                    shared += here[0] @ here[1].T
+                keep = (shared > 0) & (shared >= least * (sizes[0][lo:hi, None] + sizes[1][None] - shared) - 1)  # Spark has the last word
+                if same:
+                    keep &= np.arange(lo, hi)[:, None] < np.arange(len(sizes[1]))[None]
+                i, j = np.nonzero(keep)
+                for s in range(0, len(i), 1 << 17):
+                    a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays(
+                        [keys[0].take(pa.array(a + lo)), keys[1].take(pa.array(b)), pa.array(sizes[0][a + lo]), pa.array(sizes[1][b]), pa.array(shared[a, b].astype(np.int64))], names=["x", "y", "nx", "ny", "shared"]
+                    )
+
+
 def divide(df: DataFrame, divisor: DataFrame, keys: list[str], element: str) -> DataFrame:
     """Keys that have every element of divisor: distinct counts compared."""
     all_ = divisor.select(element).distinct()
@@ -125,13 +230,25 @@ def covered_length(df: DataFrame, keys: list[str], start: str, width: int, name:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: lineage is cut, and lost executors do not lose it. The session's folder is taken."""
-    sc = df.sparkSession.sparkContext
+    """df written to the checkpoint folder and read again: lineage is cut, and lost executors do not lose it. The session's folder is taken.
+
+    It is Parquet, compressed and read by column, and Spark deletes the shuffle files as the write ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/durable-{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cloned_words(df: DataFrame, keys: list[str], file: str, words: str, width: int) -> DataFrame:

@@ -21,3 +21,24 @@ def test_division_pairs_are_not_shuffled(spark):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(brute, key=key) and {len(want[t]) for _, t in brute} > {1}
     assert not re.search(r"hashpartitioning\(k#\w+, t#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_jaccard_pairs_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = {(f"k{k}", rng.randrange(20 if k % 2 else 60)) for k in range(37) for _ in range(rng.randint(1, 14))}
+    sets |= {("k1", None), ("alone", None), (None, 3), ("same", 1), ("same2", 1)}
+    have = {}
+    for k, e in sets:
+        have.setdefault(k, set()).add(e)
+    brute = []
+    for a, x in have.items():
+        for b, y in have.items():
+            if a is not None and b is not None and a < b and (n := len((x & y) - {None})) and 4 * n >= len(x) + len(y) - n:
+                brute.append((a, b, n, round(n / (len(x) + len(y) - n), 6), round(min(len(x), len(y)) / max(len(x), len(y)), 6)))
+    df = spark.createDataFrame(list(sets), "k string, e long")
+    assert sorted(map(tuple, R.jaccard_pairs(df, "k", "e", 0.25).collect())) == sorted(brute)
+    for name, value in (("JOINED", 0), ("BLOCK_KEYS", 5), ("COLUMNS", 7)):
+        monkeypatch.setattr(R, name, value)
+    blocks = R.jaccard_pairs(df, "k", "e", 0.25)
+    assert sorted(map(tuple, blocks.collect())) == sorted(brute) and len(brute) > 50
+    assert not re.search(r"hashpartitioning\(a#\w+, b#", blocks._jdf.queryExecution().executedPlan().toString())
