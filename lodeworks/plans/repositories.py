@@ -34,10 +34,24 @@ _TREE = "SELECT concat('r', n_nationkey) AS repo_id, n_nationkey AS n, n_nationk
 ROOT = (("go.sum", 2, 0), ("Makefile", 3, 0), (".golangci.yml", 4, 0), ("docs/use.md", 5, 1), ("docs/adr-1.md", 5, 1), ("a/example_test.go", 7, 3), ("b/example_test.go", 7, 3), ("c/x_example_test.go", 7, 3), ("CLAUDE.md", 3, 1))
 
 
-def facts(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """files, paths, trees and members; an order has a few line items. Derived once, for the many joins that read them."""
+MODULE = "example.com/m"
+# Each file of a domain folder imports another feature's folder, others that of the next one; where the nation's key is a
+# multiple of three only lower features are imported, so that no cycle can be.
+_TO = """SELECT f.*, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) AS a, CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END AS b,
+  concat(regexp_extract(path, '^([a-z]*/f)', 1), CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END, CASE WHEN k % 9 = 4 THEN '/adapters/http' ELSE '/domain' END) AS target FROM f"""
+
+
+def facts(spark, d: str, graph: bool = False, functions: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """files, paths, trees and members; an order has a few line items. Derived once, for the many joins that read them.
+
+    graph: files import folders as ``_TO`` has them. Without functions files have none, for what does not look at them.
+    """
     t = {x: table(spark, d, x) for x in ("orders", "customer", "lineitem", "nation")}
     f, g = spark.sql(_FILE, orders=t["orders"], customer=t["customer"]), spark.sql(_FN, lineitem=t["lineitem"])
+    imports = F.array(F.lit("m/internal/application"))
+    if graph:
+        f = spark.sql(_TO.replace("FROM f", "FROM {f} f"), f=f)
+        imports = F.when(F.expr("a <> b AND (n % 3 <> 0 OR b < a)"), F.array(F.concat(F.lit(f"{MODULE}/"), "target"))).otherwise(F.array().cast("array<string>"))
     names = F.coalesce(*[F.when(F.col("q") == i, F.array(*[F.lit(x) for x in p.split()]).cast("array<string>")) for i, p in enumerate(PARAMS)])
     kind = lambda x, i: F.when(F.col("q") == 5, F.when(i == 0, "context.Context").otherwise("string")).when((i == 0) & (F.col("i") == 1), "any").otherwise("string")
     fn = F.struct(
@@ -50,10 +64,10 @@ def facts(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     methods = F.array_compact(F.array(F.concat(F.lit("M"), F.col("port") % 4), F.when(F.col("port") % 2 == 1, F.concat(F.lit("M"), (F.col("port") + 1) % 4))))
     ports = F.when(F.col("port").isNotNull(), F.array(F.struct(F.concat(F.lit("I"), "port").alias("name"), F.when(F.col("port") % 10 == 0, F.array().cast("array<string>")).otherwise(methods).alias("methods"))))
     repeat = lambda n, s: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), s)
-    files = f.join(fns, "k", "left").select(
+    files = (f.join(fns, "k", "left") if functions else f.withColumn("functions", F.lit(None).cast(f"array<{T.FUNCTION}>"))).select(
         "repo_id", "path", "package", F.col("doc").alias("package_doc"), F.col("inits").cast("int").alias("init_functions"), F.col("total_lines").cast("int").alias("total_lines"), F.col("gen").alias("is_generated"), F.lit(False).alias("has_cgo"),
         strings(F.col("k") % 3 == 0, F.concat(F.lit("T"), F.col("k") % 4)).alias("structs"), strings(F.col("port").isNotNull(), F.concat(F.lit("I"), "port")).alias("interfaces"),
-        F.coalesce(ports, F.array().cast("array<struct<name:string,methods:array<string>>>")).alias("interface_defs"), F.array(F.lit("m/internal/application")).alias("imports"),
+        F.coalesce(ports, F.array().cast("array<struct<name:string,methods:array<string>>>")).alias("interface_defs"), imports.alias("imports"),
         F.when(F.col("vars") == 5, F.array(*map(F.lit, ("ErrX", "Total", "part", "Other", "rest")))).otherwise(strings(F.col("vars") == 1, F.lit("Total"))).alias("global_vars"),
         repeat(F.col("errs").cast("int"), lambda i: F.struct((i <= F.col("wraps")).alias("has_wrap"), F.col("told").alias("has_context"))).alias("error_calls"),
         repeat(F.col("casts").cast("int"), lambda i: F.struct((F.col("safe") | (i == 1)).alias("safe"))).alias("type_assertions"), F.coalesce("functions", F.array().cast(f"array<{T.FUNCTION}>")).alias("functions"),
@@ -61,7 +75,7 @@ def facts(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     files = R.durable(files)
     trees = spark.sql(_TREE, nation=t["nation"])
     extra = [trees.where(F.col("n") % a == b).select("repo_id", F.lit(p).alias("path")) for p, a, b in ROOT]
-    paths = R.durable(reduce(DataFrame.union, extra, files.select("repo_id", "path")))
+    paths = reduce(DataFrame.union, extra, files.select("repo_id", "path"))
     return files, paths, trees.drop("n"), R.durable(M.module_files(files))
 
 
@@ -281,23 +295,6 @@ def build_commands(spark, d):
     return P.build_commands(own, trees.select("repo_id", F.col("has_agents").alias("has_go_mod")))
 
 
-MODULE = "example.com/m"
-# Each file of a domain folder imports another feature's folder, others that of the next one; where the nation's key is a
-# multiple of three only lower features are imported, so that no cycle can be.
-_TO = """SELECT f.*, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) AS a, CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END AS b,
-  concat(regexp_extract(path, '^([a-z]*/f)', 1), CASE WHEN k % 6 IN (0, 5) THEN k % 7 ELSE (CAST(regexp_extract(path, '/f([0-9])/', 1) AS INT) + 1) % 7 END, CASE WHEN k % 9 = 4 THEN '/adapters/http' ELSE '/domain' END) AS target FROM f"""
-
-
-def linked(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files with their imports, trees and members."""
-    t = {x: table(spark, d, x) for x in ("orders", "customer")}
-    files, _, trees, members = facts(spark, d)
-    f = spark.sql(_FILE, **t)
-    to = spark.sql(_TO.replace("FROM f", "FROM {f} f"), f=f).where("a <> b AND (n % 3 <> 0 OR b < a)").select("repo_id", "path", F.array(F.concat(F.lit(f"{MODULE}/"), "target")).alias("_i"))
-    files = files.join(to, ["repo_id", "path"], "left").withColumn("imports", F.coalesce("_i", F.array().cast("array<string>"))).drop("_i")
-    return R.durable(files), trees.withColumn("module_path", F.lit(MODULE)), members
-
-
 _GRAPH = f"""{_BASE.replace('WITH f', 'WITH RECURSIVE f', 1)}, x AS ({_TO}), e AS (SELECT DISTINCT repo_id, folder AS src, target AS dst FROM x WHERE NOT gen AND NOT test AND a <> b AND (n % 3 <> 0 OR b < a) AND folder <> target),
   nd AS (SELECT repo_id, folder AS p, count_if(port IS NOT NULL) AS ifc, count_if(k % 3 = 0) AS st FROM x WHERE NOT gen AND NOT test GROUP BY 1, 2), every AS (SELECT * FROM nd UNION ALL SELECT DISTINCT repo_id, dst, 0, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.repo_id = e.repo_id AND nd.p = e.dst)),
   node AS (SELECT every.*, (SELECT count(*) FROM e WHERE e.repo_id = every.repo_id AND dst = p) AS ca, (SELECT count(*) FROM e WHERE e.repo_id = every.repo_id AND src = p) AS ce FROM every),
@@ -307,19 +304,22 @@ _GRAPH = f"""{_BASE.replace('WITH f', 'WITH RECURSIVE f', 1)}, x AS ({_TO}), e A
   gs AS (SELECT repo_id, packages, far, CASE WHEN packages <= 1 THEN 1 ELSE CASE WHEN repo_id IN (SELECT repo_id FROM loops) THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN mean > 0.4 THEN greatest(0, 1 - (mean - 0.4::DOUBLE) / 0.8::DOUBLE) ELSE 1 END * 0.36::DOUBLE + (1 - far / packages::DOUBLE) * 0.24::DOUBLE END AS score FROM ds)"""
 
 
-def _scored_graph(spark, d):
-    files, trees, members = linked(spark, d)
+def _scored_graph(spark, d, functions: bool = False):
+    """files, paths, trees, members, and the graph's nodes, edges and scores, which need no functions."""
+    files, paths, trees, members = facts(spark, d, True, functions)
+    trees = trees.withColumn("module_path", F.lit(MODULE))
     nodes, edges = G.package_graph(files, trees)
-    nodes, edges = R.durable(G.coupled(nodes, edges)), R.durable(edges)
+    edges = R.durable(edges)
+    nodes = R.durable(G.coupled(nodes.drop("io", "io_params", "has_main"), edges))
     node = lambda c: F.struct("repo_id", F.col(c).alias("package")).alias(c)
     on = R.cycle_members(edges.select(node("src"), node("dst"))).select("node.*")
-    return files, members, nodes, edges, G.graph_score(nodes, on)
+    return files, paths, trees, members, nodes, edges, G.graph_score(nodes, on)
 
 
 @query("q90_graph_scores", f"{_GRAPH} SELECT repo_id, packages, round(score, 6) AS score FROM gs")
 def graph_scores(spark, d):
     """Graphs with and without cycles, far from the main sequence or near it, and with outliers."""
-    return _scored_graph(spark, d)[4].withColumn("score", F.round("score", 6))
+    return _scored_graph(spark, d)[-1].withColumn("score", F.round("score", 6))
 
 
 _SIDES = f"""{_GRAPH}, lf AS (SELECT *, CASE WHEN path LIKE '%/adapters/%' THEN 'adapters' WHEN path LIKE '%/application/%' THEN 'application' WHEN path LIKE '%/domain/%' THEN 'domain' END AS layer, CASE WHEN NOT (a <> b AND (n % 3 <> 0 OR b < a)) THEN NULL WHEN k % 9 = 4 THEN 'adapters' ELSE 'domain' END AS tl FROM x WHERE path LIKE 'internal/%' AND NOT test),
@@ -333,7 +333,7 @@ _SIDES = f"""{_GRAPH}, lf AS (SELECT *, CASE WHEN path LIKE '%/adapters/%' THEN
 )
 def direction_scores(spark, d):
     """Both sides of the score; repositories without modules have the graph's alone."""
-    files, members, _, _, graph = _scored_graph(spark, d)
+    files, _, _, members, _, _, graph = _scored_graph(spark, d)
     return L.dependency_direction(files, L.layer_violations(files, members)[1], graph)
 
 
@@ -344,7 +344,7 @@ def direction_scores(spark, d):
 )
 def direction_issues(spark, d):
     """Issues of imports against the layers' direction, and of packages that import far more than most."""
-    files, members, nodes, edges, _ = _scored_graph(spark, d)
+    files, _, _, members, nodes, edges, _ = _scored_graph(spark, d)
     none = edges.where("false")
     found = P.layout_issues(files, members, ()).where("sub_metric = 'dependency_direction'").unionByName(P.graph_issues(nodes, none))
     return found.select("repo_id", "severity", "file", "message", "pattern")
@@ -395,8 +395,7 @@ _LAYOUT = P.Layout(("_service", "_handler"), "auto", ("internal", "docs", "cmd")
 
 
 def _scored(spark, d):
-    files, members, nodes, edges, _ = _scored_graph(spark, d)
-    _, paths, trees, _ = facts(spark, d)
+    files, paths, trees, members, nodes, edges, _ = _scored_graph(spark, d, True)
     own = paths.join(files.select("repo_id").distinct(), "repo_id", "left_semi")
     there = (("has_claude", "CLAUDE.md"), ("has_agents", "AGENTS.md"), (".cursorrules", ".cursorrules"))
     docs = F.array_compact(F.array(*[F.when(F.col("has_cursor" if c == ".cursorrules" else c), F.struct(F.lit(n).alias("name"), F.length("agent_doc").alias("size"))) for c, n in there]))
